@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import exact_dedup, mixing, quality, secret_scan, sharding
+from textloom.llm import debruijn_dedup, exact_dedup, mixing, quality, secret_scan, sharding, suffix_repeats
 from textloom.llm.common import read_table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -11,6 +11,14 @@ WEIGHTS = {f"src{i}": w for i, w in enumerate((4, 8, 6, 6, 5, 5, 4, 4, 3, 3))}
 REST_WEIGHT = 16.0
 
 
+def op1_suffix_array_dedup(spark, sf_dir):
+    return suffix_repeats.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op2_substring_dedup(spark, sf_dir):
+    return debruijn_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -32,7 +40,7 @@ def op10_secret_scan(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op5_exact_dedup, op6_quality_classifier, op8_sharding, op9_mixing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op5_exact_dedup, op6_quality_classifier, op8_sharding, op9_mixing, op10_secret_scan)}
 
 
 def oracle_sql():
