@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import debruijn_dedup, exact_dedup, mixing, quality, secret_scan, sharding, suffix_repeats
+from textloom.llm import debruijn_dedup, exact_dedup, mixing, quality, secret_scan, sharding, suffix_repeats, topk_search
 from textloom.llm.common import read_table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -19,6 +19,10 @@ def op2_substring_dedup(spark, sf_dir):
     return debruijn_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_topk_search(spark, sf_dir):
+    return topk_search.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -40,11 +44,12 @@ def op10_secret_scan(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op5_exact_dedup, op6_quality_classifier, op8_sharding, op9_mixing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_topk_search, op5_exact_dedup, op6_quality_classifier, op8_sharding, op9_mixing, op10_secret_scan)}
 
 
 def oracle_sql():
     return {
+        "op3_topk_search": SQL3,
         "op5_exact_dedup": SQL5,
         "op8_sharding": SQL8.format(table=",".join(map(str, sharding.fill_table(SHARDS))), size=sharding.TABLE_SIZE),
         "op9_mixing": sql9(),
@@ -52,6 +57,16 @@ def oracle_sql():
     }
 
 
+SQL3 = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 SQL5 = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
