@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,16 +27,22 @@ def whole_text(name: str = "text") -> Column:
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Two columns that name a row even where ids are null or repeated.
 
-    ``rid`` is the id (0 for a null one) and ``rhash`` a 64-bit hash of text and
-    id nullness, so rows that share an id but not a text stay apart. Rows equal
-    in both get equal keys and hence equal results.
+    ``rid`` is the id (0 for a null one) and ``rhash`` a hash of the text whose
+    lowest bit says that the id is null, so rows that share an id but not a text
+    stay apart. Rows equal in both get equal keys and hence equal results.
     """
+    mark = F.when(F.col(id_col).isNull(), F.lit(1)).otherwise(F.lit(0)).cast("long")
     return [
         F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("rid"),
-        F.xxhash64(whole_text(text_col), F.col(id_col).isNull()).alias("rhash"),
+        F.xxhash64(whole_text(text_col)).bitwiseAND(F.lit(-2)).bitwiseOR(mark).alias("rhash"),
     ]
 
 
+def row_id() -> Column:
+    """The id that row_key() packed, null again where it was null."""
+    return F.when(F.col("rhash").bitwiseAND(F.lit(1)) == 0, F.col("rid"))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -48,6 +56,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Give back disk: scratch *tables* no longer read, and shuffle files of finished queries.
+
+    Spark's cleaner drops a query's shuffle files once nothing refers to the
+    query; it learns of that from the garbage collector, a moment later.
+    """
+    for t in tables:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """*df* written as Parquet to the shared folder and read back.
 
@@ -60,4 +83,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out

@@ -7,9 +7,9 @@ Edges that occur in two documents are found by a join on the k-mer; where all
 occurrences of an edge go on to one and the same next edge the path does not
 branch and is compacted, so the inside of a long repeat is settled without its
 words. Where paths branch or end, the source coordinates bring the words around
-the edge: every split of the window into words before and after it is compared
-over all documents of the edge, and the smallest document with that window
-decides. Equal contexts are collapsed to one row, with their smallest document,
+the edge: every window through it, by its hash and its place around the edge, is
+compared over all documents of the edge, and the smallest document with that
+window decides. Equal contexts are collapsed to one row, with their smallest document,
 before the shuffle.
 
 Words are maximal runs without white space, unchanged; null and empty texts
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import symbols as S
-from textloom.llm.common import materialise, row_key, whole_text
+from textloom.llm.common import row_id, row_key, whole_text
 from textloom.llm.repeats import CONTEXT, Spec, covered, spans_of, walk
 
 WINDOW = 50
@@ -39,50 +39,31 @@ SPEC = Spec(WINDOW, 8, "word", across=True)
 AT_ONCE = 1 << 15
 
 
-def _prefixes(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the first o words, for o up to *width*; number of words) of each context."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 8
-    data = np.frombuffer(column.buffers()[2], S.U) if column.buffers()[2] is not None else np.zeros(0, S.U)
-    n = np.diff(offsets)
-    out = np.zeros((width + 1, len(n)), S.U)
-    tail = np.append(data, S.U(0))
-    for o in range(width):
-        out[o + 1] = S.mix(out[o] * S.LEVELS[1] + tail[np.minimum(offsets[:-1] + o, len(data))])
-    return out, n
-
-
-def first_documents(key: np.ndarray, low: np.ndarray, shared: np.ndarray, left: pa.Array, right: pa.Array, window: int = WINDOW, k: int = SPEC.k) -> tuple[np.ndarray, ...]:
+def first_documents(key: np.ndarray, low: np.ndarray, shared: np.ndarray, first: np.ndarray, windows: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, before, after, document): the smallest document that holds each run of windows of a context.
 
-    Windows are all splits into o words before the edge and window - o from it on.
-    *shared*: whether several documents have the very same context.
+    Row i has the windows that start first[i], first[i]-1, ... words before its
+    edge; their hashes are windows[bounds[i]:bounds[i+1]]. *shared*: whether
+    several documents have the very same context.
     """
-    lefts, n_left = _prefixes(left, window - k)
-    rights, n_right = _prefixes(right, window)
+    size = np.diff(bounds)
+    row = np.repeat(np.arange(len(key)), size)
+    ahead = first[row] - (np.arange(len(windows)) - bounds[row])
+    h = S.mix(windows ^ S.mix(key.view(S.U)[row] + ahead.astype(S.U)))
+    order = np.argsort(h, kind="stable")
+    new = np.concatenate(([True], h[order][1:] != h[order][:-1])) if len(h) else np.zeros(0, bool)
+    begins = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    least = np.minimum.reduceat(low[row][order], begins) if len(h) else low
+    many = (np.bincount(group)[group] > 1) | shared[row][order]
     none = np.iinfo(np.int64).max
-    best = np.full((window - k + 1, len(key)), none)
-    base = S.mix(key.view(S.U))
-    for o in range(window - k + 1):
-        able = np.flatnonzero((n_left >= o) & (n_right >= window - o))
-        if not len(able):
-            continue
-        h = S.mix(base[able] ^ lefts[o][able] * S.LEVELS[2]) ^ rights[window - o][able]
-        order = np.argsort(h, kind="stable")
-        new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-        group = np.cumsum(new) - 1
-        least = np.minimum.reduceat(low[able][order], np.flatnonzero(new))
-        size = np.bincount(group)
-        best[o, able[order]] = np.where((size[group] > 1) | shared[able][order], least[group], none)
-    # runs of splits with the same document
-    change = np.ones((window - k + 2, len(key)), bool)
-    change[1:-1] = best[1:] != best[:-1]
-    row, edge = np.nonzero(change.T)
-    same = row[1:] == row[:-1]
-    row, start, stop = row[:-1][same], edge[:-1][same], edge[1:][same]
-    doc = best[start, row]
-    real = doc != none
-    return row[real], stop[real] - 1, window - start[real], doc[real]
+    best = np.full(len(h), none)
+    best[order] = np.where(many, least[group], none)
+    # runs of windows with the same document
+    head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (best[1:] != best[:-1])))) if len(h) else begins
+    tail = np.append(head[1:], len(h))[: len(head)] - 1
+    head, tail = head[best[head] != none], tail[best[head] != none]
+    return row[head], ahead[head], WINDOW - ahead[tail], best[head]
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +75,10 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(table):
             return
         key, ctx, low = (table.column(c).combine_chunks().to_numpy() for c in ("key", "ctx", "low"))
-        row, before, after, doc = first_documents(key, low, table.column("high").combine_chunks().to_numpy() > low, table.column("left").combine_chunks(), table.column("right").combine_chunks())
+        shared = table.column("high").combine_chunks().to_numpy() > low
+        data, offsets = S.texts_of(table.column("windows").combine_chunks())
+        windows = data[offsets[0] : offsets[-1]].view(S.U)
+        row, before, after, doc = first_documents(key, low, shared, table.column("first").combine_chunks().to_numpy(), windows, (offsets - offsets[0]) // 8)
         yield pa.RecordBatch.from_arrays(
             [pa.array(key[row]), pa.array(ctx[row]), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(doc)],
             ["key", "ctx", "before", "after", "low"],
@@ -120,15 +104,15 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def window_documents(walked: DataFrame) -> DataFrame:
     """(key, ctx, before, after, low) for the contexts at branches and ends of paths."""
-    contexts = walked.where(F.col("kind") == CONTEXT).groupBy("key", "ctx", "left", "right").agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
+    contexts = walked.where(F.col("kind") == CONTEXT).groupBy("key", "ctx", "first", "windows").agg(F.min(row_id()).alias("low"), F.max(row_id()).alias("high"))
     least = F.coalesce("low", F.lit(2**63 - 1)).alias("low")
-    dealt = contexts.select("key", "ctx", least, F.coalesce("high", F.lit(-(2**63))).alias("high"), "left", "right").repartition("key").sortWithinPartitions("key")
+    dealt = contexts.select("key", "ctx", least, F.coalesce("high", F.lit(-(2**63))).alias("high"), "first", "windows").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(compare, "key long, ctx long, before int, after int, low long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, rhash, spans): word ranges of each document that start in a smaller document, too."""
-    walked = materialise(walk(docs, SPEC, id_col, text_col), "walk")
+    walked = walk(docs, SPEC, id_col, text_col)
     return spans_of(walked, window_documents(walked))
 
 

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import symbols as S
-from textloom.llm.common import materialise, row_key, whole_text
+from textloom.llm.common import materialise, release, row_id, row_key, whole_text
 
 PLACE, CONTEXT = 0, 1
-WALK = "kind int, rid long, rhash long, ord long, start int, stop int, key long, ctx long, left binary, right binary"
+WALK = "kind int, rid long, rhash long, start int, stop int, key long, ctx long, left binary, right binary, first int, windows binary"
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,7 @@ class Spec:
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("ord"), whole_text(text_col).alias("text"))
+    return docs.select(*row_key(id_col, text_col), whole_text(text_col).alias("text"))
 
 
 def _anchored(spec: Spec, seq: S.Sequence):
@@ -64,16 +64,17 @@ def _anchored(spec: Spec, seq: S.Sequence):
     return pos, low, high, key, doc, linked, link
 
 
-def _nullable(values: np.ndarray, valid: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64), pa.int64(), mask=~valid)
-
-
 def edges(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, rhash, ord, nth, key, link, plink), one row per anchor."""
+    """(rid, rhash, nth, key, link, plink), one row per anchor.
+
+    Where a document begins or ends, the link is a value of that place alone,
+    which no other place shares.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = S.texts_of(b.column(3))
+            data, offsets = S.texts_of(b.column(2))
+            name = S.mix(b.column(0).to_numpy().view(S.U) ^ S.mix(b.column(1).to_numpy().view(S.U)))
             for first, last in S.chunks(offsets):
                 seq = spec.sequence(data, offsets[first : last + 1])
                 pos, _, _, key, doc, linked, link = _anchored(spec, seq)
@@ -83,27 +84,33 @@ def edges(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "
                 row = pa.array(doc + first)
                 before = np.roll(linked, 1)
                 before[0] = False
+                nth = np.arange(len(pos)) - began
+                own = S.mix(name[doc + first] + nth.astype(S.U))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(b.column(i).take(row) for i in range(3)),
-                        pa.array((np.arange(len(pos)) - began).astype(np.int32)),
+                        *(b.column(i).take(row) for i in range(2)),
+                        pa.array(nth.astype(np.int32)),
                         pa.array(key.view(np.int64)),
-                        _nullable(link, linked),
-                        _nullable(np.roll(link, 1), before),
+                        pa.array(np.where(linked, link, own).view(np.int64)),
+                        pa.array(np.where(before, np.roll(link, 1), ~own).view(np.int64)),
                     ],
-                    ["rid", "rhash", "ord", "nth", "key", "link", "plink"],
+                    ["rid", "rhash", "nth", "key", "link", "plink"],
                 )
 
-    return _documents(docs, id_col, text_col).mapInArrow(run, "rid long, rhash long, ord long, nth int, key long, link long, plink long")
+    return _documents(docs, id_col, text_col).mapInArrow(run, "rid long, rhash long, nth int, key long, link long, plink long")
 
 
 def nodes(edge_rows: DataFrame, spec: Spec) -> DataFrame:
-    """(key, n, low, ahead, back) of the repeated keys."""
-    one = lambda c: (F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1)))
-    out = edge_rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("ord").alias("low"), F.max("ord").alias("high"), one("link").alias("ahead"), one("plink").alias("back")
-    )
-    return out.where("low < high" if spec.across else "n > 1").select("key", "n", "low", F.coalesce("ahead", F.lit(False)).alias("ahead"), F.coalesce("back", F.lit(False)).alias("back"))
+    """(key, low, ahead, back) of the repeated keys.
+
+    Rows that are equal in all but their place in the cluster count each: a
+    repeated row has the links of its copy, and n is 2.
+    """
+    one = lambda c: F.min(c) == F.max(c)
+    count, ends = F.count(F.lit(1)).alias("n"), (F.min(row_id()).alias("low"), F.max(row_id()).alias("high"))
+    out = edge_rows.groupBy("key").agg(*(ends if spec.across else (count,)), one("link").alias("ahead"), one("plink").alias("back"))
+    low = F.col("low") if spec.across else F.lit(0).cast("long").alias("low")
+    return out.where("low < high" if spec.across else "n > 1").select("key", low, "ahead", "back")
 
 
 def walk(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,19 +122,22 @@ def walk(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = S.texts_of(b.column(3))
-            seen = b.column(4)
+            data, offsets = S.texts_of(b.column(2))
+            seen = b.column(3)
             at = np.asarray(seen.offsets).astype(np.int64)
             fields = seen.values
             nth = np.asarray(fields.field(0))
             low_doc = np.asarray(fields.field(1).fill_null(np.iinfo(np.int64).max))
             ahead, back = (np.asarray(fields.field(i)).astype(bool) for i in (2, 3))
-            order = b.column(2).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+            order = np.where(b.column(1).to_numpy() & 1, np.iinfo(np.int64).min, b.column(0).to_numpy())
             for first, last in S.chunks(offsets):
                 yield from _walk_chunk(spec, b, first, spec.sequence(data, offsets[first : last + 1]), at[first : last + 1], nth, low_doc, ahead, back, order)
 
-    joined = _documents(docs, id_col, text_col).join(per_doc, ["rid", "rhash"]).select("rid", "rhash", "ord", "text", "seen")
-    return joined.mapInArrow(run, WALK)
+    joined = _documents(docs, id_col, text_col).join(per_doc, ["rid", "rhash"]).select("rid", "rhash", "text", "seen")
+    out = materialise(joined.mapInArrow(run, WALK), "walk")
+    del found, per_doc, joined
+    release(docs.sparkSession, edge_rows)
+    return out
 
 
 def _walk_chunk(spec, b, first, seq, at, nth, low_doc, ahead, back, order):
@@ -172,33 +182,36 @@ def _walk_chunk(spec, b, first, seq, at, nth, low_doc, ahead, back, order):
         yield _rows(b, first + d, PLACE, s[head] - base[bound][head], e[tail] - base[bound][head])
     other = np.flatnonzero(known & ~interior)
     if len(other):
-        values = seq.data if spec.unit == "byte" else seq.symbols
-        i, off = S.ragged(lo[other], pos[other])
-        back_i, _ = S.ragged(-pos[other] + 1, -lo[other] + 1)
-        lefts = S.binary(values[-back_i], off)
-        j, off_r = S.ragged(pos[other], hi[other] + spec.window)
-        rights = S.binary(values[j], off_r)
         spans = S.Spans(seq.symbols)
         ctx = spans.hash(lo[other], hi[other] + spec.window) ^ S.mix((pos[other] - lo[other]).astype(S.U) + S.U(1))
         p = pos[other] - base[other]
-        yield _rows(b, first + doc[other], CONTEXT, p, p, key[other], ctx, lefts, rights)
+        if spec.unit == "byte":
+            i, off = S.ragged(-pos[other] + 1, -lo[other] + 1)
+            j, off_r = S.ragged(pos[other], hi[other] + spec.window)
+            content = [S.binary(seq.data[-i], off), S.binary(seq.data[j], off_r), None, None]
+        else:
+            w, off = S.ragged(lo[other], hi[other] + 1)
+            content = [None, None, pa.array((pos[other] - lo[other]).astype(np.int32)), S.binary(spans.hash(w, w + spec.window), off)]
+        yield _rows(b, first + doc[other], CONTEXT, p, p, key[other], ctx, *content)
 
 
-def _rows(b, row, kind, start, stop, key=None, ctx=None, left=None, right=None) -> pa.RecordBatch:
+def _rows(b, row, kind, start, stop, key=None, ctx=None, left=None, right=None, ahead=None, windows=None) -> pa.RecordBatch:
     n = len(row)
     none = lambda t: pa.nulls(n, t)
     row = pa.array(row)
     arrays = [
         pa.array(np.full(n, kind, np.int32)),
-        *(b.column(i).take(row) for i in range(3)),
+        *(b.column(i).take(row) for i in range(2)),
         pa.array(start.astype(np.int32)),
         pa.array(stop.astype(np.int32)),
         pa.array(key.view(np.int64)) if key is not None else none(pa.int64()),
         pa.array(ctx.view(np.int64)) if ctx is not None else none(pa.int64()),
         left if left is not None else none(pa.binary()),
         right if right is not None else none(pa.binary()),
+        ahead if ahead is not None else none(pa.int32()),
+        windows if windows is not None else none(pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(arrays, ["kind", "rid", "rhash", "ord", "start", "stop", "key", "ctx", "left", "right"])
+    return pa.RecordBatch.from_arrays(arrays, ["kind", "rid", "rhash", "start", "stop", "key", "ctx", "left", "right", "first", "windows"])
 
 
 def spans_of(walked: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -208,8 +221,8 @@ def spans_of(walked: DataFrame, ranges: DataFrame) -> DataFrame:
     start+after, if low is null or smaller than its document.
     """
     places = walked.where(F.col("kind") == PLACE).select("rid", "rhash", "start", "stop")
-    members = walked.where(F.col("kind") == CONTEXT).select("rid", "rhash", "ord", "start", "key", "ctx")
-    met = members.join(ranges, ["key", "ctx"]).where(F.col("low").isNull() | (F.col("low") < F.col("ord")))
+    members = walked.where(F.col("kind") == CONTEXT).select("rid", "rhash", "start", "key", "ctx")
+    met = members.join(ranges, ["key", "ctx"]).where(F.col("low").isNull() | (F.col("low") < row_id()))
     compared = met.select("rid", "rhash", (F.col("start") - F.col("before")).alias("start"), (F.col("start") + F.col("after")).alias("stop"))
     return places.unionByName(compared).groupBy("rid", "rhash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise, row_key, whole_text
+from textloom.llm.common import row_key, whole_text
 from textloom.llm.repeats import CONTEXT, Spec, covered, spans_of, walk
 
 WINDOW = 200
@@ -183,7 +183,7 @@ def repeat_ranges(walked: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, rhash, spans): byte ranges of each document that are covered by repeats."""
-    walked = materialise(walk(docs, SPEC, id_col, text_col), "walk")
+    walked = walk(docs, SPEC, id_col, text_col)
     return spans_of(walked, repeat_ranges(walked))
 
 
