@@ -35,6 +35,8 @@ GROUP_ROWS = 8192
 CHUNK_ROWS = 1024
 TOP = 20
 EVERY = 20
+#: Rows that a task collects before it keeps the best of each query.
+MERGE_ROWS = 1 << 17
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -126,6 +128,14 @@ def search_blocks(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarr
     return row, best_i[row, col], best_s[row, col], done
 
 
+def best_of(rows: np.ndarray, top: int) -> np.ndarray:
+    """The best *top* (query, id, score) rows of each query."""
+    rows = rows[np.lexsort((rows[:, 1], -rows[:, 2], rows[:, 0]))]
+    begins = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0]))) if len(rows) else np.zeros(0, np.int64)
+    nth = np.arange(len(rows)) - np.repeat(begins, np.diff(np.append(begins, len(rows))))
+    return rows[nth < top]
+
+
 def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by *every*."""
     rows = integer_vectors(vectors, id_col, vector_col)
@@ -137,12 +147,18 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, id_col: str =
     meet = blocks.join(asked.hint("shuffle_hash"), "chunk").repartition(groups * chunks, "part", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros((0, 3), np.int64)
+        new: list[np.ndarray] = []
         for b in batches:
             for x in b.to_pylist():
                 q_ids, q = unpacked(x["q_ids"], x["q_dims"], x["q_values"])
                 ids, v = unpacked(x["ids"], x["dims"], x["values"])
                 row, i, s, _ = search_blocks(q_ids, q, ids, v, top)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(i), pa.array([int(y) for y in s], pa.int64())], ["query_id", "vec_id", "score"])
+                new.append(np.column_stack((q_ids[row], i, s.astype(np.int64))))
+                if sum(map(len, new)) > MERGE_ROWS + len(kept):
+                    kept, new = best_of(np.concatenate((kept, *new)), top), []
+        kept = best_of(np.concatenate((kept, *new)), top)
+        yield pa.RecordBatch.from_arrays([pa.array(kept[:, c].copy()) for c in range(3)], ["query_id", "vec_id", "score"])
 
     found = meet.select("q_ids", "q_dims", "q_values", "ids", "dims", "values").mapInArrow(run, FOUND)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
