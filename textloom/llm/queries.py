@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import debruijn_dedup, exact_dedup, mixing, quality, secret_scan, sharding, suffix_repeats, topk_search
+from textloom.llm import debruijn_dedup, exact_dedup, jaccard_join, mixing, quality, secret_scan, sharding, suffix_repeats, topk_search
 from textloom.llm.common import read_table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -31,6 +31,10 @@ def op6_quality_classifier(spark, sf_dir):
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join.join_components(read_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark, sf_dir):
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"), SHARDS)
 
@@ -44,7 +48,7 @@ def op10_secret_scan(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_topk_search, op5_exact_dedup, op6_quality_classifier, op8_sharding, op9_mixing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_topk_search, op5_exact_dedup, op6_quality_classifier, op7_jaccard_join, op8_sharding, op9_mixing, op10_secret_scan)}
 
 
 def oracle_sql():
