@@ -378,8 +378,8 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id."""
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id; with *keys* also rid and rhash."""
     spark = docs.sparkSession
     longest = docs.agg(F.max(F.octet_length(whole_text(text_col)))).first()[0] or 0
     plan = first_plan(longest + 1)
@@ -420,8 +420,10 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = whole.withColumn("label", F.coalesce("label", F.struct(F.col("f1").alias("l1"), F.col("f2").alias("l2"))))
     least = whole.groupBy("label").agg(F.min("id").alias("component_id"))
     ids = whole.select("f1", "f2", "label").join(least, "label").select("f1", "f2", "component_id")
-    full = rows.where("n > 0").join(ids, ["f1", "f2"]).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    none = rows.where("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    names = [F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")]
+    more = ["rid", "rhash"] if keys else []
+    full = rows.where("n > 0").join(ids, ["f1", "f2"]).select(*names, "component_id", *more)
+    none = rows.where("n = 0").select(*names, F.col("id").alias("component_id"), *more)
     return full.union(none)
 
 
@@ -451,11 +453,15 @@ def across(members: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """*docs* with one document of each component, with all columns it had.
 
-    The row with the component's smallest id stays; rows with an empty set all
-    stay. Of rows that repeat an id, one stays.
+    The row with the component's smallest id stays (of several with that id, one).
+    Rows with an empty set, and those of components without any id, all stay but
+    for exact repeats of a row.
     """
-    found = join_components(docs, id_col, text_col)
-    keep = found.where("doc_id = component_id or n_shingles = 0 or component_id is null").select(F.col("doc_id").alias("__keep_id")).distinct()
-    rows = docs.withColumn("__keep_id", F.col(id_col)).join(keep, F.col("__keep_id").eqNullSafe(keep["__keep_id"]), "left_semi").drop("__keep_id")
-    nth = F.row_number().over(W.partitionBy(id_col).orderBy(text_col))
-    return rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    found = join_components(docs, id_col, text_col, keys=True)
+    grouped = found.where("n_shingles > 0 and doc_id = component_id").groupBy("rid").agg(F.min("rhash").alias("rhash"))
+    single = found.where("n_shingles = 0 or component_id is null").select("rid", "rhash").distinct()
+    names = ("__rid", "__rhash")
+    keyed = docs.select("*", *(c.alias(n) for c, n in zip(row_key(id_col, text_col), names, strict=True)))
+    kept = keyed.join(grouped.union(single).toDF(*names), list(names), "left_semi")
+    nth = F.row_number().over(W.partitionBy(*names).orderBy(*names))
+    return kept.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from textloom.llm import debruijn_dedup, exact_dedup, jaccard_join, mixing, quality, secret_scan, sharding, suffix_repeats, topk_search
+from textloom.llm import debruijn_dedup, exact_dedup, jaccard_join, lattice, mixing, quality, secret_scan, sharding, suffix_repeats, topk_search
 from textloom.llm.common import read_table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 #: Target weights of the mix; any other source shares REST_WEIGHT.
 WEIGHTS = {f"src{i}": w for i, w in enumerate((4, 8, 6, 6, 5, 5, 4, 4, 3, 3))}
 REST_WEIGHT = 16.0
+#: The tokenizer's model file and the number of sampled segmentations.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+SAMPLES = 2
 
 
 def op1_suffix_array_dedup(spark, sf_dir):
@@ -23,6 +26,10 @@ def op3_topk_search(spark, sf_dir):
     return topk_search.search(read_table(spark, sf_dir, "embeddings"))
 
 
+def op4_sentencepiece_sampling(spark, sf_dir):
+    return lattice.encode_samples(read_table(spark, sf_dir, "documents"), MODEL_FILE, SAMPLES, with_ids=False)
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -47,8 +54,18 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.scan_digest(read_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_topk_search, op5_exact_dedup, op6_quality_classifier, op7_jaccard_join, op8_sharding, op9_mixing, op10_secret_scan)}
+    ops = (
+        op1_suffix_array_dedup, op2_substring_dedup, op3_topk_search, op4_sentencepiece_sampling, op5_exact_dedup,
+        op6_quality_classifier, op7_jaccard_join, op8_sharding, op9_mixing, op10_secret_scan, pipeline,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql():
