@@ -1,0 +1 @@
+"""Column functions: text analysis and matching, and their SQL registration."""

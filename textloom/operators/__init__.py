@@ -1,0 +1 @@
+"""Operators over documents and postings: set algebra, bitmaps, index, ranking."""

@@ -1,0 +1 @@
+"""The query language: parsing, validation, wire form, and its Column plans."""

@@ -1,0 +1 @@
+"""Structured Streaming: documents become searchable per micro-batch."""
