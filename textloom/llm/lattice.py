@@ -43,10 +43,16 @@ from textloom.llm.common import row_key, whole_text
 
 MARK = "▁"
 _MARK = MARK.encode()
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 THETA = 1.0
 SEED = 17
 SLOT_BITS = 21
+#: No standard Gumbel number made of uniform() is larger.
+MOST = 38.0
+#: Edges that a worker keeps between chunks (21 bytes each).
+EDGES_HELD = 4_000_000
+#: Units whose lattices are built together; it bounds the working memory.
+BUILT_AT_ONCE = 1 << 14
 
 
 class Vocabulary:
@@ -77,6 +83,9 @@ class Vocabulary:
         self.hashes, self.ids, self.weights = h[order], np.array(ids)[order], weight[order]
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("pieces must be distinct")
+        starts = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
+        self.starts = np.zeros(1 << SLOT_BITS, bool)
+        self.starts[[self.hash_of(p) >> 64 - SLOT_BITS for p in starts]] = True
         # slot of a hash's upper bits -> first piece there; pieces of one slot are neighbours
         slot = (self.hashes >> S.U(64 - SLOT_BITS)).astype(np.int64)
         self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
@@ -111,8 +120,12 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 text of a sequence of ids, without the space that encoding puts in front."""
-        at, _ = S.ragged(self.text_bounds[ids], self.text_bounds[ids + 1])
-        return self.text[at].tobytes()[1:]
+        return self.decoded(ids, np.array([0, len(ids)]))[0][1:]
+
+    def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[bytes, list[int]]:
+        """The bytes of several sequences, each with the space in front, and their bounds."""
+        at, ends = S.ragged(self.text_bounds[ids], self.text_bounds[ids + 1])
+        return self.text[at].tobytes(), ends[bounds].tolist()
 
 
 @dataclass
@@ -146,6 +159,9 @@ def build(code: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> Lattice:
             break
         h = h * S.LEVELS[10] + (code[at + ell - 1] + S.U(1)) * S.LEVELS[11]
         m = S.mix(h)
+        # only what begins some piece can grow to one
+        alive = np.flatnonzero(vocab.starts[(m >> S.U(64 - SLOT_BITS)).astype(np.int64)])
+        at, h, m = at[alive], h[alive], m[alive]
         spot = vocab.find(m)
         hit = np.flatnonzero(spot >= 0)
         where, spot = at[hit], spot[hit]
@@ -193,7 +209,60 @@ def build(code: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> Lattice:
     for j in range(1, int(deg.max(initial=1))):
         k = np.flatnonzero(nth == j)
         upto[k] += upto[k - 1]
-    return Lattice(first, size, piece, log_p, upto, base)
+    return Lattice(first, size.astype(np.int8), piece.astype(np.int32), log_p, upto, base)
+
+
+class Table:
+    """Lattices of the units met so far; emptied when it holds EDGES_HELD edges.
+
+    What a unit's lattice is does not depend on the others, so neither do results.
+    """
+
+    def __init__(self, vocab: Vocabulary) -> None:
+        self.vocab = vocab
+        self.clear()
+
+        self.first = np.zeros(1, np.int64)
+        self.length, self.piece = np.zeros(0, np.int8), np.zeros(0, np.int32)
+        self.log_p, self.upto = np.zeros(0), np.zeros(0)
+
+    def clear(self) -> None:
+        """Forget all units; the arrays stay to be filled again."""
+        self.names = np.zeros(0, S.U)
+        self.places = np.zeros(0, np.int64)
+        self.nodes = self.edges = 0
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        held = getattr(self, name)
+        if at + len(values) > len(held):
+            grown = np.empty(max(at + len(values), len(held) * 5 // 4), held.dtype)
+            grown[:at] = held[:at]
+            setattr(self, name, held := grown)
+        held[at : at + len(values)] = values
+
+    def nodes_of(self, names: np.ndarray, code_of) -> np.ndarray:
+        """First node of each named unit; *code_of* gives (code points, sizes) of those at some indices."""
+        if self.edges > EDGES_HELD:
+            self.clear()
+        spot = np.minimum(np.searchsorted(self.names, names), max(len(self.names) - 1, 0))
+        known = self.names[spot] == names if len(self.names) else np.zeros(len(names), bool)
+        out = np.empty(len(names), np.int64)
+        out[known] = self.places[spot[known]]
+        new = np.flatnonzero(~known)
+        for i in range(0, len(new), BUILT_AT_ONCE):
+            some = new[i : i + BUILT_AT_ONCE]
+            code, sizes = code_of(some)
+            lat = build(code, sizes, self.vocab)
+            out[some] = self.nodes + lat.base[:-1]
+            self._put("first", self.nodes, lat.first + self.edges)
+            for name in ("length", "piece", "log_p", "upto"):
+                self._put(name, self.edges, getattr(lat, name))
+            self.nodes, self.edges = self.nodes + len(code), self.edges + len(lat.piece)
+        if len(new):
+            both = np.concatenate((self.names, names[new]))
+            order = np.argsort(both)
+            self.names, self.places = both[order], np.concatenate((self.places, out[new]))[order]
+        return out
 
 
 def utf8_length(c: np.ndarray) -> np.ndarray:
@@ -202,15 +271,19 @@ def utf8_length(c: np.ndarray) -> np.ndarray:
 
 def uniform(seed: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) named by a 64-bit seed and a place."""
-    x = S.mix(S.mix(at.astype(S.U) * S.LEVELS[12] + S.U(1)) ^ seed)
+    x = S.mix(seed + (at.astype(S.U) + S.U(1)) * S.LEVELS[12])
     return ((x >> S.U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def salt(i: int) -> np.uint64:
+    return S.mix(np.array([i + 1], S.U) * S.LEVELS[13])[0]
+
+
 class Chunk:
     """Texts of a chunk over one table of unit lattices; positions count characters of all of them."""
 
-    def __init__(self, texts: list[bytes], seeds: np.ndarray, vocab: Vocabulary) -> None:
-        self.vocab, self.seeds = vocab, seeds
+    def __init__(self, texts: list[bytes], seeds: np.ndarray, table: Table) -> None:
+        self.vocab, self.seeds, self.lattice = table.vocab, seeds, table
         marked = [b" " + (t.replace(_MARK, b" ") if _MARK in t else t) if t else t for t in texts]
         data = np.frombuffer(b"".join(marked), np.uint8)
         ends = np.cumsum([len(t) for t in marked])
@@ -223,20 +296,30 @@ class Chunk:
         begins[heads[heads < ends]] = True
         at = np.flatnonzero(begins)
         stop = np.append(at[1:], len(data))
-        _, one, kinds = np.unique(S.Spans(S.BYTE_HASH[data]).hash(at, stop), return_index=True, return_inverse=True)
-        i, off = S.ragged(at[one], stop[one])
-        part = data[i]
-        code = np.frombuffer(part.tobytes().decode().encode("utf-32-le"), np.uint32).astype(S.U)
-        letters = np.add.reduceat((part & 0xC0) != 0x80, off[:-1]) if len(one) else off[:-1]
-        self.lattice = build(np.where(code == 32, S.U(ord(MARK)), code), letters.astype(np.int64), vocab)
-        units = np.searchsorted(at, np.concatenate(([0], ends)))
-        size = np.diff(self.lattice.base)[kinds]
-        self.start = np.concatenate(([0], np.cumsum(size)))
-        self.bounds = self.start[units]
+        name = S.Spans(S.BYTE_HASH[data]).hash(at, stop)
+        order = np.argsort(name)
+        sorted_ = name[order]
+        new = np.ones(len(order), bool)
+        new[1:] = sorted_[1:] != sorted_[:-1]
+        one = order[new]
+        kinds = np.empty(len(order), np.int64)
+        kinds[order] = np.cumsum(new) - 1
+        head = (data & 0xC0) != 0x80
+        letters = np.add.reduceat(head, at).astype(np.int64) if len(at) else at
+
+        def code_of(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            i, _ = S.ragged(at[one[which]], stop[one[which]])
+            code = np.frombuffer(data[i].tobytes().decode().encode("utf-32-le"), np.uint32).astype(S.U)
+            return np.where(code == 32, S.U(ord(MARK)), code), letters[one[which]]
+
+        base = table.nodes_of(sorted_[new], code_of)
+        self.start = np.concatenate(([0], np.cumsum(letters)))
+        self.units = np.searchsorted(at, np.concatenate(([0], ends)))
+        self.bounds = self.start[self.units]
         n = self.start[-1]
-        self.node = np.arange(n) + np.repeat(self.lattice.base[kinds] - self.start[:-1], size)
-        self.stop = np.repeat(self.start[1:], size)
-        self.text_of = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
+        self.node = np.arange(n) + np.repeat(base[kinds] - self.start[:-1], letters)
+        self.stop = np.repeat(self.start[1:].astype(np.int32), letters)
+        self.text_of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.bounds))
 
     def draw(self, at: np.ndarray, chosen: np.ndarray, sample: int) -> None:
         """Follow random edges from the nodes *at* to the ends of their units."""
@@ -244,7 +327,7 @@ class Chunk:
         while len(at):
             edge = lat.first[self.node[at]]
             doc = self.text_of[at]
-            u = uniform(self.seeds[doc] + S.U(2 * sample), at - self.bounds[doc])
+            u = uniform(self.seeds[doc] ^ salt(2 * sample), at - self.bounds[doc])
             last = lat.first[self.node[at] + 1] - 1
             open_ = np.flatnonzero(edge < last)
             while len(open_):
@@ -256,103 +339,128 @@ class Chunk:
             inside = at < self.stop[at - 1]
             at = at[inside]
 
-    def samples(self, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
-        """(text, sample, ids, log probability, perturbed value, log inclusion probability)."""
+    def parts(self, path: np.ndarray, edges: np.ndarray, first: np.ndarray, stop: np.ndarray, before: np.ndarray, value: np.ndarray, docs: np.ndarray, extra: dict, sample: int, want: int, width: int = 64) -> list[list[tuple[float, int]]]:
+        """Per text, the *want* largest (value, index into path) of the parts that depart from its path.
+
+        Index i stands for the segmentations that agree before path[i] and take
+        another edge there. No Gumbel number drawn here exceeds MOST, and the
+        mass of a part falls along the path, so a part far behind the want-th
+        best need not be drawn; where that is not certain, more nodes are.
+        """
+        out: list[list[tuple[float, int]]] = [[] for _ in docs]
+        todo = np.arange(len(docs))
+        while len(todo):
+            d, f, z = docs[todo], first[todo], stop[todo]
+            at = f[:, None] + np.arange(width)
+            real = at < z[:, None]
+            at = np.minimum(at, max(len(path) - 1, 0))
+            lp = np.where(real, self.lattice.log_p[edges[at]], 0.0) if len(path) else np.zeros(at.shape)
+            ahead = before[todo][:, None] + np.cumsum(lp, axis=1)
+            gone = np.exp(lp)
+            free = real & (gone < 1)
+            for i in range(len(todo)):
+                if (more := extra.get(int(d[i]))) is not None:
+                    gone[i, 0] += more[0]
+                    free[i, 0] = more[1]
+            u = uniform(self.seeds[d][:, None] ^ salt(2 * sample + 1), path[at] - self.bounds[d][:, None]) if len(path) else np.full(at.shape, 0.5)
+            with np.errstate(divide="ignore"):
+                mass = ahead - lp + np.where(free, np.log(np.maximum(1.0 - gone, 0.0)), -np.inf)
+            top = -np.logaddexp(-value[d][:, None], -(mass - np.log(-np.log(u))))
+            best = np.argsort(-top, axis=1, kind="stable")[:, :want]
+            least = np.take_along_axis(top, best[:, -1:], axis=1)[:, 0] if best.shape[1] == want else np.full(len(todo), -np.inf)
+            sure = (f + width >= z) | (ahead[:, -1] + MOST < least)
+            for i in np.flatnonzero(sure).tolist():
+                out[todo[i]] = [(float(top[i, j]), int(at[i, j])) for j in best[i].tolist() if top[i, j] > -np.inf]
+            todo, width = todo[~sure], 8 * width
+        return out
+
+    def samples(self, k: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per sample: (texts, sample, edges, their bounds, log probability, perturbed value, log inclusion probability)."""
         lat, n = self.lattice, len(self.bounds) - 1
-        chosen = np.full(self.start[-1], -1, np.int64)
+        chosen = np.full(self.start[-1], -1, np.int32)
         self.draw(self.start[:-1], chosen, 0)
         value = -np.log(-np.log(uniform(self.seeds, np.full(n, 2**40))))
-        many = np.exp(lat.log_p) < 1
         frontier: list[list] = [[] for _ in range(n)]
         branch = np.full(n, -1)  # where a text's current sample departs
         banned: list[frozenset[int]] = [frozenset()] * n
         live = np.arange(n)
-        emitted: list[list] = [[] for _ in range(n)]
+        emitted: list[tuple] = []
         for sample in range(k):
             alive = np.zeros(n, bool)
             alive[live] = True
             path = np.flatnonzero(chosen >= 0)
             path = path[alive[self.text_of[path]]]
-            edges, doc = chosen[path], self.text_of[path]
-            lp = lat.log_p[edges]
+            edges = chosen[path]
             at = np.searchsorted(path, self.bounds)
-            # log probability of the path before each of its nodes, each text on its own
-            before = np.zeros(len(path))
-            for d in live.tolist():
-                a, z = at[d], at[d + 1]
-                sums = np.cumsum(lp[a:z])
-                before[a + 1 : z] = sums[:-1]
-                emitted[d].append((edges[a:z], float(sums[-1]) if z > a else 0.0, float(value[d])))
-            # parts of the rest: the first departure at each later node that has another edge
-            gone = np.exp(lp)
-            free = many[edges] & (path >= branch[doc])
-            for i in np.flatnonzero(path == branch[doc]).tolist():
-                d = doc[i]
-                node = self.node[path[i]]
-                gone[i] += sum(np.exp(lat.log_p[e]) for e in sorted(banned[d]))
-                free[i] = len(banned[d]) + 1 < lat.first[node + 1] - lat.first[node]
-            with np.errstate(divide="ignore"):
-                mass = before + np.where(free, np.log(np.maximum(1.0 - gone, 0.0)), -np.inf)
-            u = uniform(self.seeds[doc] + S.U(2 * sample + 1), path - self.bounds[doc])
-            top = -np.logaddexp(-value[doc], -(mass - np.log(-np.log(u))))
+            lp = np.append(lat.log_p[edges], 0.0)
+            sums = np.where(at[1:] > at[:-1], np.add.reduceat(lp, at[:-1]), 0.0)
+            emitted.append((live, edges, np.append(at[live], len(path)), sums[live], value[live], path, at))
+            first = np.maximum(np.searchsorted(path, self.bounds[:-1] + np.maximum(branch - self.bounds[:-1], 0)), at[:-1])[live]
+            before = np.array([lp[a:f].sum() for a, f in zip(at[live].tolist(), first.tolist(), strict=True)])
+            extra = {}
+            for d in live[branch[live] >= 0].tolist():
+                node = self.node[branch[d]]
+                others = sum(np.exp(lat.log_p[e]) for e in sorted(banned[d]))
+                extra[d] = (others, len(banned[d]) + 1 < lat.first[node + 1] - lat.first[node])
+            found = self.parts(path, edges, first, at[1:][live], before, value, live, extra, sample, k + 1 - sample)
             follow = []
-            want = k + 1 - sample
-            for d in live.tolist():
-                a, z = at[d], at[d + 1]
-                part = top[a:z]
-                for j in [int(part.argmax())] if want == 1 and z > a else np.argsort(-part, kind="stable")[:want].tolist():
-                    if part[j] > -np.inf:
-                        spot = int(path[a + j])
-                        ban = frozenset([int(edges[a + j])]) | (banned[d] if spot == branch[d] else frozenset())
-                        heapq.heappush(frontier[d], (-float(part[j]), sample, spot, ban))
+            for d, parts in zip(live.tolist(), found, strict=True):
+                for v, i in parts:
+                    spot = int(path[i])
+                    ban = frozenset([int(edges[i])]) | (banned[d] if spot == branch[d] else frozenset())
+                    heapq.heappush(frontier[d], (-v, sample, spot, ban))
                 if sample + 1 < k and frontier[d]:
                     follow.append((d, *heapq.heappop(frontier[d])))
             if not follow:
                 break
             # the next sample of each text: its source path up to the branch, another edge there, the rest anew
             starts = []
-            for d, v, of, at, ban in follow:
+            for d, v, of, spot, ban in follow:
                 a, z = self.bounds[d], self.bounds[d + 1]
-                edges = emitted[d][of][0]
-                path = a + np.concatenate(([0], np.cumsum(lat.length[edges])))[:-1]
+                _, edges, _, _, _, path, at = emitted[of]
+                keep = at[d] + int(np.searchsorted(path[at[d] : at[d + 1]], spot))
                 chosen[a:z] = -1
-                keep = path < at
-                chosen[path[keep]] = edges[keep]
-                node = self.node[at]
+                chosen[path[at[d] : keep]] = edges[at[d] : keep]
+                node = self.node[spot]
                 free = np.array([e for e in range(lat.first[node], lat.first[node + 1]) if e not in ban])
                 p = np.cumsum(np.exp(lat.log_p[free]))
-                u = uniform(self.seeds[d : d + 1] + S.U(2 * sample + 2), np.array([at - a]))[0]
+                u = uniform(self.seeds[d : d + 1] ^ salt(2 * sample + 2), np.array([spot - a]))[0]
                 edge = free[min(int(np.searchsorted(p, u * p[-1])), len(free) - 1)]
-                chosen[at] = edge
-                value[d], branch[d], banned[d] = -v, at, ban
-                here = at + lat.length[edge]
-                if here < self.stop[at]:
+                chosen[spot] = edge
+                value[d], branch[d], banned[d] = -v, spot, ban
+                here = spot + int(lat.length[edge])
+                if here < self.stop[spot]:
                     starts.append(np.array([here]))
-                i, j = np.searchsorted(self.start, (at, z), "right")
-                starts.append(self.start[i : j - 1])
+                own = self.start[self.units[d] : self.units[d + 1]]
+                starts.append(own[np.searchsorted(own, spot, "right") :])
             live = np.array([x[0] for x in follow])
             self.draw(np.concatenate(starts), chosen, sample + 1)
-        for d in range(n):
-            bar = -frontier[d][0][0] if frontier[d] else -np.inf
-            for s, (edges, lp, v) in enumerate(emitted[d]):
-                # log(1 - exp(-exp(lp - bar)))
-                inside = 0.0 if bar == -np.inf else float(np.log(-np.expm1(-np.exp(min(lp - bar, 50.0))))) if lp - bar > -30 else lp - bar
-                yield d, s, self.ids(edges), lp, v, inside
-
-    def ids(self, edges: np.ndarray) -> np.ndarray:
-        piece = self.lattice.piece[edges]
+        bar = np.array([-f[0][0] if f else -np.inf for f in frontier])
+        for s, (live, edges, bounds, lp, v, _, _) in enumerate(emitted):
+            # log(1 - exp(-exp(lp - bar)))
+            above = np.minimum(lp - bar[live], 50.0)
+            with np.errstate(divide="ignore"):
+                inside = np.where(above > -30, np.log(-np.expm1(-np.exp(above))), above)
+            yield live, s, edges, bounds, lp, v, np.where(bar[live] == -np.inf, 0.0, inside)
+
+    def ids(self, edges: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of the edges, and their bounds: characters without a piece become bytes."""
+        piece = self.lattice.piece[edges].astype(np.int64)
         raw = np.flatnonzero(piece < 0)
         if not len(raw):
-            return piece
+            return piece, bounds
         code = -1 - piece[raw]
-        if (code < 128).all():
-            piece[raw] = self.vocab.byte_ids[code]
-            return piece
-        parts, last = [], 0
-        for i, c in zip(raw.tolist(), code.tolist(), strict=True):
-            parts += [piece[last:i], self.vocab.byte_ids[list(chr(c).encode())]]
-            last = i + 1
-        return np.concatenate([*parts, piece[last:]])
+        piece[raw] = self.vocab.byte_ids[np.minimum(code, 127)]
+        wide = raw[code > 127]
+        if not len(wide):
+            return piece, bounds
+        size = np.ones(len(piece), np.int64)
+        size[wide] = utf8_length(code[code > 127])
+        ends = np.concatenate(([0], np.cumsum(size)))
+        out = np.repeat(piece, size)
+        for i, c in zip(wide.tolist(), code[code > 127].tolist(), strict=True):
+            out[ends[i] : ends[i + 1]] = self.vocab.byte_ids[list(chr(c).encode())]
+        return out, ends[bounds]
 
 
 OUT = "sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, round_trip boolean"
@@ -368,25 +476,30 @@ def encode_samples(docs: DataFrame, model_file: str, k: int = 2, theta: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(model_file, theta)
+        table = Table(vocab)
         for b in batches:
             data, offsets = S.texts_of(b.column(3))
             seeds = S.mix(b.column(1).to_numpy().view(S.U) + S.U(seed)) ^ S.mix(b.column(2).to_numpy().view(S.U))
             for first, last in S.chunks(offsets, CHUNK_BYTES):
                 texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(first, last)]
-                rows = []
-                for d, s, ids, lp, v, inc in Chunk(texts, seeds[first:last], vocab).samples(k):
-                    ids32 = ids.astype("<i4")
-                    same = vocab.decode(ids) == texts[d].replace(_MARK, b" ")
-                    rows.append((first + d, s + 1, len(ids), lp, v, inc, hashlib.sha256(ids32.tobytes()).hexdigest(), same, ids32 if with_ids else None))
-                cols = list(zip(*rows, strict=True))
-                types = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_())
-                arrays = [b.column(0).take(pa.array(cols[0])), *(pa.array(c, t) for c, t in zip(cols[1:8], types, strict=True))]
-                names = ["doc_id", *(x.split()[0] for x in OUT.split(", "))]
-                if with_ids:
-                    ends = np.concatenate(([0], np.cumsum([len(x) for x in cols[8]])))
-                    arrays.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(cols[8]))))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                chunk = Chunk(texts, seeds[first:last], table)
+                for docs_, s, edges, bounds, lp, v, inside in chunk.samples(k):
+                    ids, bounds = chunk.ids(edges, bounds)
+                    packed = memoryview(ids.astype("<i4").tobytes())
+                    text, cut = vocab.decoded(ids, bounds)
+                    ends = bounds.tolist()
+                    digest = [hashlib.sha256(packed[4 * i : 4 * j]).hexdigest() for i, j in zip(ends, ends[1:], strict=False)]
+                    same = [text[i:j] == (b" " + t.replace(_MARK, b" ") if t else b"") for i, j, t in zip(cut, cut[1:], (texts[d] for d in docs_.tolist()), strict=False)]
+                    n = len(docs_)
+                    arrays = [b.column(0).take(pa.array(docs_ + first)), pa.array(np.full(n, s + 1, np.int32)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(lp), pa.array(v), pa.array(inside), pa.array(digest, pa.string()), pa.array(same, pa.bool_())]
+                    names = ["doc_id", *(x.split()[0] for x in OUT.split(", "))]
+                    if with_ids:
+                        arrays.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(arrays, names)
+                    del ids, packed, text, arrays
+                del chunk
+                S.trim()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), whole_text(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, {OUT}" + (", ids array<int>" if with_ids else ""))

@@ -6,6 +6,7 @@ numpy call serves many rows; arithmetic is modulo 2**64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,18 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task."""
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values with good avalanche."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
