@@ -70,14 +70,54 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_suffix_array_dedup": SQL1,
+        "op2_substring_dedup": SQL2,
         "op3_topk_search": SQL3,
         "op5_exact_dedup": SQL5,
+        "op7_jaccard_join": SQL7,
         "op8_sharding": SQL8.format(table=",".join(map(str, sharding.fill_table(SHARDS))), size=sharding.TABLE_SIZE),
         "op9_mixing": sql9(),
         "op10_secret_scan": sql10(),
     }
 
 
+SQL1 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, unnest(range(1, octet_length(b) + 1)) AS pos,
+             unnest(list_transform(range(1, octet_length(b) + 1), lambda i: CASE WHEN i + 199 <= octet_length(b) THEN md5(b[i:i + 199]) END)) AS h,
+             unnest(list_transform(range(1, octet_length(b) + 1), lambda i: hex(b[i:i]))) AS x FROM d),
+f AS (SELECT doc_id, pos, x, CAST(h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS INT) AS hit FROM p),
+g AS (SELECT *, max(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM f),
+e AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), 0) = 0 AS begins FROM g)
+SELECT d.doc_id, CAST(max(octet_length(d.b)) AS BIGINT) AS n_bytes, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed, CAST(count(*) FILTER (begins) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(string_agg(x, '' ORDER BY pos) FILTER (gone = 0), ''))) AS kept_sha256
+FROM d LEFT JOIN e USING (doc_id) GROUP BY d.doc_id
+"""
+
+SQL2 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos,
+             unnest(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i + 49 <= len(w) THEN md5(array_to_string(w[i:i + 49], ' ')) END)) AS h FROM d),
+f AS (SELECT doc_id, word, pos, CAST(h IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY h) AS INT) AS hit FROM p),
+g AS (SELECT *, max(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f)
+SELECT d.doc_id, CAST(max(len(d.w)) AS BIGINT) AS n_words, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0), '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id
+"""
+
+SQL7 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS l FROM d),
+g AS (SELECT doc_id, len(l) AS n, unnest(l) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+k AS (SELECT a, b FROM c WHERE 100 * k >= 75 * (an + bn - k)),
+r AS (SELECT a, b FROM k UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a)
+SELECT s.doc_id, CAST(len(l) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
+FROM s LEFT JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, len(l)
+"""
+
 SQL3 = """
 WITH v AS (
   SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT))) AS v FROM embeddings
