@@ -43,14 +43,14 @@ from textloom.llm.common import row_key, whole_text
 
 MARK = "▁"
 _MARK = MARK.encode()
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 3 << 19
 THETA = 1.0
 SEED = 17
 SLOT_BITS = 21
 #: No standard Gumbel number made of uniform() is larger.
 MOST = 38.0
 #: Edges that a worker keeps between chunks (21 bytes each).
-EDGES_HELD = 4_000_000
+EDGES_HELD = 6_000_000
 #: Units whose lattices are built together; it bounds the working memory.
 BUILT_AT_ONCE = 1 << 14
 
