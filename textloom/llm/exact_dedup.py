@@ -1,8 +1,10 @@
 """Exact deduplication by content sort, in DataFrame operations only.
 
-Rows are range-partitioned on their whole normalised text between sampled
-splitters, each partition is sorted externally, and equal neighbours form a
-group whose smallest id stays. A text with very many copies would fill one
+Rows are range-partitioned between sampled splitters on their normalised text -
+by its first LEAD characters, then by a hash of all of it, so that splitters
+stay short for the driver. Each partition is sorted externally by that and by
+the whole text, and neighbours with fully equal texts form a group whose
+smallest id stays. A text with very many copies would fill one
 range; such texts (by a map-side combined count) get a salt as a second sort
 key, which spreads their copies over several ranges. At most ``HOT_LIST``
 texts can be hot, so the list of them is broadcast.
@@ -23,6 +25,8 @@ from textloom.llm.common import SPACE_CLASS, whole_text
 #: A text is hot when it has over 1/HOT_LIST of all rows (and HOT_LEAST copies).
 HOT_LIST = 2048
 HOT_LEAST = 64
+#: Characters of a text that its splitters hold.
+LEAD = 24
 
 
 def normalised(text_col: str = "text"):
@@ -52,9 +56,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("hot_size") / F.lit(limit)).cast("long"))
     )
     placed = rows.join(F.broadcast(hot), "text_sha256", "left").withColumn("salt", salt)
-    run = W.partitionBy("norm", "salt")
+    placed = placed.withColumns({"lead": F.substring("norm", 1, LEAD), "whole": F.xxhash64("norm")})
+    run = W.partitionBy("lead", "whole", "salt", "norm")
     nearest = run.orderBy(F.col("doc_id").asc_nulls_last())
-    runs = placed.repartitionByRange(F.col("norm"), F.col("salt")).select(
+    runs = placed.repartitionByRange("lead", "whole", "salt").select(
         "*",
         F.row_number().over(nearest).alias("nth"),
         F.first("doc_id").over(nearest).alias("run_keep"),
