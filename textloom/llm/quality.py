@@ -36,6 +36,8 @@ FOLDS = 5
 #: Weight of the pooled covariance, then of the diagonal.
 SHRINK_POOLED, SHRINK_DIAGONAL = 0.1, 0.1
 FLOOR = 1e-3
+#: Added to a share's denominator, so that short texts have no extreme shares.
+SMOOTH = 120
 
 _CLASSES = np.zeros((256, 8))
 for _k, _bytes in enumerate((range(65, 91), range(48, 58), (32, 9, 11, 12, 13), (10,), b".,;:?'\"()-", b"!", b"#$%&*+/<=>@\\^_`{}~[]", b"|")):
@@ -54,7 +56,7 @@ def statistics(text: bytes) -> list[float]:
     m = len(words)
     tally = Counter(words)
     lines = [x for x in text.split(b"\n") if x]
-    share = lambda x, of: float(np.log1p(1000 * x / (of + 120)))
+    share = lambda x, of: float(np.log1p(1000 * x / (of + SMOOTH)))
     same = sum(map(bytes.__eq__, words, words[1:])) if m > 1 else 0
     return [
         float(np.log1p(chars)), float(np.log1p(m)), float(np.log1p((chars - space - newline) / max(m, 1))),
