@@ -8,17 +8,21 @@ units over its segments - one where the segments must be equal, two where they
 may differ in one shingle - some segment is within what was spent on it.
 
 Cost-based allocation: segments without shingles, which nearly all sets share,
-are never used; a probe spends on its fullest (most selective) segments first;
-bands of small sets use few, large segments with two units each and index every
-one-deletion neighbour, bands of large sets use many segments with one unit
-each and no neighbours. The number of segments of a band is raised until every
-set of the data can spend its units, so no pair is lost.
+are never used. Bands of small sets use few, large segments with two units each
+and index every one-deletion neighbour, bands of large sets use many segments
+with one unit each and no neighbours. The number of segments of a band is
+raised until every set of the data can spend its units. What a set could spend
+beyond H + 1 is its spare: once the buckets' sizes are known, it takes back that
+many units from its most crowded buckets. Sets that merely share a passage so
+probe nowhere, and no pair is lost.
 
 Sets that are equal become one class first. Buckets (segment, content) are
 built from packed arrays. In a bucket, members are first compared with one
-pivot; those that the verified links join into one component need no further
-comparison, and only members of still different components are compared with
-each other. All comparisons are exact on the sets of 64-bit shingle hashes.
+probe; those that the verified links join into one component need no further
+comparison. For the others the shingles that no other open class has are
+counted: two sets differ at least in the private shingles of both, which
+settles most pairs of a large group without looking at them, and the rest of
+the members in still different components are compared with each other. All comparisons are exact on the sets of 64-bit shingle hashes.
 
 Null, empty and wordless texts have an empty set and link with nothing; their
 component is their own id. Repeated rows and ids are fine; a null id is never a
@@ -48,7 +52,10 @@ SMALL = 24
 PIVOT_ROUNDS = 2
 #: Packed entries that one reducing group holds, about.
 GROUP_ENTRIES = 1 << 20
+LEAST_GROUPS = 12
 CHUNK_BYTES = 1 << 22
+#: Bits of a packed entry: band, segment (where neighbours are indexed).
+BAND_BITS, SEGMENT_BITS = 6, 4
 
 Plan = dict[int, tuple[int, int, int, bool]]  # band -> (least size, largest size, segments, neighbours)
 
@@ -72,13 +79,14 @@ def first_plan(largest: int) -> Plan:
     for i, (low, nxt) in enumerate(zip(edges, edges[1:], strict=False)):
         high = nxt - 1
         small = high <= SMALL
-        plan[i] = (low, high, max(1, round(high / 5)) if small else math.ceil(0.4 * high) + 4, small)
+        plan[i] = (low, high, math.ceil(high / 3.5) if small else math.ceil(0.4 * high) + 4, small)
     return plan
 
 
-def wider(m: int) -> int:
-    """The next number of segments to try; at last every shingle is its own segment."""
-    return math.ceil(1.5 * m) if m < 1 << 24 else 1 << 62
+def wider(low: int, high: int, m: int, near: bool) -> tuple[int, int, int, bool]:
+    """A band with more segments; at last every shingle is its own segment."""
+    m = math.ceil(1.5 * m) if m < 1 << 24 else 1 << 62
+    return low, high, m, near and m < 1 << SEGMENT_BITS
 
 
 def shingle_sets(seq: S.Sequence, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -151,26 +159,23 @@ def pick(h: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return h[S.ragged(bounds[rows], bounds[rows + 1])[0]]
 
 
-def short_bands(h: np.ndarray, bounds: np.ndarray, plan: Plan, only: set[int] | None = None) -> set[int]:
-    """Bands in which some set cannot spend its units."""
-    size, out = np.diff(bounds), set()
+def allowances(h: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, band, spare): units that each set has beyond those it needs; negative if short of them."""
+    size = np.diff(bounds)
+    out = [[np.zeros(0, np.int64)] * 3]
     for band, (low, high, m, near) in plan.items():
-        if only is not None and band not in only:
-            continue
         rows = in_band(size, low, high)
-        if not len(rows):
-            continue
-        row, _, count, _, _, _ = segments(pick(h, bounds, rows), size[rows], m, band)
-        units = np.bincount(row, np.minimum(count, 2) if near else None, minlength=len(rows))
-        if (units < needed(size[rows], low, high)).any():
-            out.add(band)
-    return out
+        if len(rows):
+            row, _, count, _, _, _ = segments(pick(h, bounds, rows), size[rows], m, band)
+            units = np.bincount(row, np.minimum(count, 2) if near else None, minlength=len(rows)).astype(np.int64)
+            out.append([rows, np.full(len(rows), band), units - needed(size[rows], low, high)])
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def entries(h: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, set, probes, indexed) of all index and probe entries."""
+def entries(h: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarray, ...]:
+    """(key, set, band, segment, indexed) of all entries; every entry is a probe."""
     size = np.diff(bounds)
-    keys, sets, probes, indexed = [], [], [], []
+    out = [[np.zeros(0, S.U), *[np.zeros(0, np.int64)] * 3, np.zeros(0, bool)]]
     for band, (low, high, m, near) in plan.items():
         rows = in_band(size, low, high)
         if not len(rows):
@@ -178,69 +183,63 @@ def entries(h: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarray,
         row, seg, count, content, entry, value = segments(pick(h, bounds, rows), size[rows], m, band)
         own = size[rows] <= high
         base = S.mix(seg + S.LEVELS[8] * np.array([band + 1], S.U))
+        at = np.full(len(row), band)
+        name = seg.astype(np.int64) if near else np.zeros(len(row), np.int64)
+        out.append([S.mix(base ^ content), rows[row], at, name, own[row]])
         if near:
-            # the segment and, from two shingles on, all that lack one of them
-            lone = np.flatnonzero(count[entry] > 1)
-            keys += [S.mix(base ^ content), S.mix(base[entry[lone]] ^ (content[entry[lone]] - value[lone]))]
-            for part in (row, row[entry[lone]]):
-                sets.append(rows[part])
-                probes.append(np.ones(len(part), bool))
-                indexed.append(own[part])
-            continue
-        order = np.lexsort((seg, -count, row))
-        begins = np.searchsorted(row, np.arange(len(rows)))
-        nth = np.empty(len(row), np.int64)
-        nth[order] = np.arange(len(row)) - begins[row[order]]
-        probe = nth < needed(size[rows], low, high)[row]
-        use = np.flatnonzero(probe | own[row])
-        keys.append(S.mix(base[use] ^ content[use]))
-        sets.append(rows[row[use]])
-        probes.append(probe[use])
-        indexed.append(own[row[use]])
-    if not keys:
-        return np.zeros(0, S.U), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool)
-    return np.concatenate(keys), np.concatenate(sets), np.concatenate(probes), np.concatenate(indexed)
+            # from two shingles on, also the segment without each one of them
+            lone = entry[(count > 1)[entry]]
+            rest = content[lone] - value[(count > 1)[entry]]
+            out.append([S.mix(base[lone] ^ rest), rows[row[lone]], at[lone], name[lone], own[row[lone]]])
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def document_sets(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
-    """(rid, rhash, id, n, f1, f2, short): one row per input row; short lists bands for check_plan()."""
+    """(rid, rhash, id, n, f1, f2, bands, spares): one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, h, bounds in sets_of(b, 3):
                 f1, f2 = fingerprints(h, bounds)
                 n = len(bounds) - 1
-                short = sorted(short_bands(h, bounds, plan))
-                lists = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(n + 1), 1) * len(short), pa.int32()), pa.array(short, pa.int32()))
+                row, band, spare = allowances(h, bounds, plan)
+                order = np.argsort(row, kind="stable")
+                ends = pa.array(np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[order].astype(np.int32))) for x in (band, spare)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(i).slice(first, n) for i in range(3)), pa.array(np.diff(bounds)), pa.array(f1), pa.array(f2), lists], ["rid", "rhash", "id", "n", "f1", "f2", "short"]
+                    [*(b.column(i).slice(first, n) for i in range(3)), pa.array(np.diff(bounds)), pa.array(f1), pa.array(f2), *lists],
+                    ["rid", "rhash", "id", "n", "f1", "f2", "bands", "spares"],
                 )
 
     rows = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(run, "rid long, rhash long, id long, n long, f1 long, f2 long, short array<int>")
-
+    return rows.mapInArrow(run, "rid long, rhash long, id long, n long, f1 long, f2 long, bands array<int>, spares array<int>")
 
-def check_plan(docs: DataFrame, plan: Plan, short: set[int], text_col: str) -> Plan:
-    """The plan with more segments where some set of the data could not spend its units."""
-    while short:
-        plan = {b: (low, high, wider(m), near) if b in short else (low, high, m, near) for b, (low, high, m, near) in plan.items()}
-        now, trial = set(short), dict(plan)
 
-        def run(batches: Iterator[pa.RecordBatch], trial=trial, now=now) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for _, h, bounds in sets_of(b, 0):
-                    yield pa.RecordBatch.from_arrays([pa.array(sorted(short_bands(h, bounds, trial, now)), pa.int32())], ["band"])
-
-        short = {r.band for r in docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "band int").distinct().collect()}  # bands only
-    return plan
+def planned_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Plan]:
+    """document_sets() under a plan in which no set is short of units."""
+    longest = docs.agg(F.max(F.octet_length(whole_text(text_col)))).first()[0] or 0
+    plan = first_plan(longest // 2 + 1)
+    if len(plan) > 1 << BAND_BITS:
+        raise ValueError("a text is too long for the number of size bands")
+    while True:
+        rows = materialise(document_sets(docs, plan, id_col, text_col), "sets")
+        spare = F.explode(F.arrays_zip("bands", "spares")).alias("x")
+        # at most one row for each band
+        short = {r.band for r in rows.select(spare).where("x.spares < 0").select(F.col("x.bands").alias("band")).distinct().collect()}
+        if not short:
+            return rows, plan
+        release(docs.sparkSession, rows)
+        plan = {b: wider(*p) if b in short else p for b, p in plan.items()}
 
 
 def packed_entries(docs: DataFrame, plan: Plan, groups: int, text_col: str) -> DataFrame:
-    """(part, entries, f1, f2, n): per chunk of documents and group, entries packed to 8 bytes.
+    """(part, words, names): per chunk of documents and group, entries of 16 bytes.
 
-    An entry holds 45 bits of its key, its two flags and the set's place in the
-    chunk (17 bits). Equal sets of a chunk are entered once.
+    From its lowest bit a word holds whether the entry is indexed (all probe),
+    segment, band, and the rest of its key; keys shortened so only add
+    candidates. The name is f1 of the set. Equal sets of a chunk are entered once.
     """
+    band_at = 1 + SEGMENT_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,71 +247,94 @@ def packed_entries(docs: DataFrame, plan: Plan, groups: int, text_col: str) -> D
                 f1, f2 = fingerprints(h, bounds)
                 n = np.diff(bounds)
                 _, one = np.unique(np.column_stack((f1, f2)), axis=0, return_index=True)
-                one = np.sort(one[n[one] > 0])
-                for a in range(0, len(one), 1 << 17):
-                    rows = one[a : a + (1 << 17)]
-                    key, who, probe, index = entries(pick(h, bounds, rows), np.concatenate(([0], np.cumsum(n[rows]))), plan)
-                    if not len(key):
-                        continue
-                    part = (key % S.U(groups)).astype(np.int64)
-                    word = (key // S.U(groups)) << S.U(19) | probe.astype(S.U) << S.U(18) | index.astype(S.U) << S.U(17) | who.astype(S.U)
-                    order = np.argsort(part, kind="stable")
-                    parts, at = np.unique(part[order], return_index=True)
-                    stop = np.append(at[1:], len(order))
-                    word = word[order]
-                    table = [np.ascontiguousarray(x[rows]).tobytes() for x in (f1, f2, n)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(parts.astype(np.int32)), pa.array([word[i:j].tobytes() for i, j in zip(at, stop, strict=True)], pa.binary()), *(pa.array([t] * len(parts), pa.binary()) for t in table)],
-                        ["part", "entries", "f1", "f2", "n"],
-                    )
+                rows = np.sort(one[n[one] > 0])
+                key, who, band, seg, index = entries(pick(h, bounds, rows), np.concatenate(([0], np.cumsum(n[rows]))), plan)
+                part = (key % S.U(groups)).astype(np.int64)
+                word = (key // S.U(groups)) << S.U(band_at + BAND_BITS) | band.astype(S.U) << S.U(band_at) | seg.astype(S.U) << S.U(1) | index.astype(S.U)
+                order = np.argsort(part, kind="stable")
+                yield _dealt(part[order], word[order], f1[rows][who[order]])
+                S.trim()
+
+    return docs.select(whole_text(text_col).alias("text")).mapInArrow(run, DEALT)
+
 
-    return docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "part int, entries binary, f1 binary, f2 binary, n binary")
+DEALT = "part int, words binary, names binary"
 
 
-BUCKETS = "bucket long, part int, f1 long, f2 long, n long, probe boolean, indexed boolean"
+def _dealt(part: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """One row for each part (sorted), with the columns' values as bytes."""
+    parts, at = np.unique(part, return_index=True)
+    stop = np.append(at[1:], len(part))
+    blobs = [pa.array([c[i:j].tobytes() for i, j in zip(at, stop, strict=True)], pa.binary()) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), *blobs], ["part", "words", "names", "more"][: 1 + len(blobs)])
 
 
-def shared_buckets(packed: DataFrame) -> DataFrame:
-    """Members of the buckets in which a probe meets another class."""
+def _joined(rows: pa.Table, name: str, kind=np.int64) -> np.ndarray:
+    """The concatenated values of a column of bytes."""
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)])
+
+
+BUCKETS = "part int, bucket long, f1 long, band int, seg long, size int, indexed boolean"
+
+
+def shared_buckets(packed: DataFrame, plan: Plan) -> DataFrame:
+    """Members of the buckets that hold more than one class, with the bucket's size.
+
+    ``seg`` names the segment of the member that the bucket belongs to.
+    """
+    nears = np.zeros(1 << BAND_BITS, bool)
+    nears[[b for b, p in plan.items() if p[3]]] = True
 
     def reduce(key: tuple, rows: pa.Table) -> pa.Table:
-        words, who, f1, f2, n, base = [], [], [], [], [], 0
-        for x in rows.to_batches():
-            for w, a, b, c in zip(x.column("entries"), x.column("f1"), x.column("f2"), x.column("n"), strict=True):
-                word = np.frombuffer(w.as_buffer(), S.U)
-                local = (word & S.U((1 << 17) - 1)).astype(np.int64)
-                used, local = np.unique(local, return_inverse=True)
-                words.append(word >> S.U(17))
-                who.append(local + base)
-                for out, buf in ((f1, a), (f2, b), (n, c)):
-                    out.append(np.frombuffer(buf.as_buffer(), np.int64)[used])
-                base += len(used)
-        word, who = np.concatenate(words), np.concatenate(who)
-        f1, f2, n = np.concatenate(f1), np.concatenate(f2), np.concatenate(n)
-        rank = np.lexsort((f2, f1))
-        new = np.concatenate(([True], (f1[rank][1:] != f1[rank][:-1]) | (f2[rank][1:] != f2[rank][:-1])))
-        node = np.empty(len(rank), np.int64)
-        node[rank] = np.cumsum(new) - 1
-        f1, f2, n = f1[rank][new], f2[rank][new], n[rank][new]
-        node = node[who]
-        bucket = (word >> S.U(2)).astype(np.int64)
-        order = np.lexsort((node, bucket))
-        bucket, node, flags = bucket[order], node[order], (word[order] & S.U(3)).astype(np.int64)
-        # one row for each class of a bucket, with the flags of all its entries
-        head = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1]))))
-        flags = np.bitwise_or.reduceat(flags, head)
-        bucket, node = bucket[head], node[head]
-        begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        size = np.diff(np.append(begin, len(bucket)))
-        any_ = np.bitwise_or.reduceat(flags, begin)
-        good = np.repeat((size > 1) & (any_ == 3), size)
-        i = np.flatnonzero(good)
-        arrays = [bucket[i], np.full(len(i), key[0].as_py(), np.int32), f1[node[i]], f2[node[i]], n[node[i]], flags[i] & 2 > 0, flags[i] & 1 > 0]
-        return pa.Table.from_arrays([pa.array(x) for x in arrays], ["bucket", "part", "f1", "f2", "n", "probe", "indexed"])
+        word, name = _joined(rows, "words", S.U), _joined(rows, "names")
+        # most keys stand alone; only the others are looked at further
+        order = np.argsort(word >> S.U(1 + SEGMENT_BITS))
+        bucket = (word >> S.U(1 + SEGMENT_BITS))[order]
+        twin = np.zeros(len(bucket), bool)
+        twin[1:] = bucket[1:] == bucket[:-1]
+        twin[:-1] |= twin[1:]
+        order, bucket = order[twin], bucket[twin].astype(np.int64)
+        word, name = word[order], name[order]
+        order = np.lexsort((name, bucket))
+        bucket, word, name = bucket[order], word[order], name[order]
+        # one row for each class of a bucket
+        new = np.ones(len(bucket), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (name[1:] != name[:-1])
+        head = np.flatnonzero(new)
+        indexed = np.bitwise_or.reduceat((word & S.U(1)).astype(np.int64), head) > 0 if len(head) else np.zeros(0, bool)
+        bucket, word, name = bucket[head], word[head], name[head]
+        begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else head
+        count = np.diff(np.append(begin, len(bucket)))
+        size = np.repeat(count, count)
+        found = np.repeat(np.logical_or.reduceat(indexed, begin), count) if len(begin) else indexed
+        i = np.flatnonzero((size > 1) & found)
+        band = (word[i] >> S.U(1 + SEGMENT_BITS)).astype(np.int64) & (1 << BAND_BITS) - 1
+        seg = (word[i] >> S.U(1)).astype(np.int64) & (1 << SEGMENT_BITS) - 1
+        part = key[0].as_py()
+        alone = S.mix(bucket[i].view(S.U) ^ S.mix(np.full(len(i), part + 1, S.U))).view(np.int64)
+        arrays = [np.full(len(i), part, np.int32), bucket[i], name[i], band.astype(np.int32), np.where(nears[band], seg, alone), size[i].astype(np.int32), indexed[i]]
+        return pa.Table.from_arrays([pa.array(x) for x in arrays], [x.split()[0] for x in BUCKETS.split(", ")])
 
     return packed.groupBy("part").applyInArrow(reduce, BUCKETS)
 
 
+def allocated(buckets: DataFrame, rows: DataFrame, plan: Plan) -> DataFrame:
+    """The buckets with a probe left after every class took its spare units from the most crowded ones."""
+    near = [b for b, p in plan.items() if p[3]]
+    cost = F.when(F.col("band").isin(near), 2).otherwise(1)
+    zipped = rows.where("n > 0").select("f1", F.explode(F.arrays_zip("bands", "spares")).alias("x"))
+    spares = zipped.groupBy("f1", F.col("x.bands").alias("band")).agg(F.min("x.spares").alias("spare"))
+    crowd = buckets.groupBy("f1", "band", "seg").agg(F.max("size").alias("crowd"))
+    spent = F.sum(cost).over(W.partitionBy("f1", "band").orderBy(F.desc("crowd"), "seg").rowsBetween(W.unboundedPreceding, 0))
+    kept = crowd.withColumn("spent", spent).join(spares, ["f1", "band"]).where("spent > spare").select("f1", "band", "seg", F.lit(True).alias("probe"))
+    flagged = buckets.join(kept, ["f1", "band", "seg"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+    used = flagged.where("probe or indexed").select("part", "bucket", "f1", "probe", "indexed")
+    live = used.groupBy("part", "bucket").agg(F.bool_or("probe").alias("p"), F.bool_or("indexed").alias("i"), F.count(F.lit(1)).alias("k"))
+    left = used.join(live.where("p and i and k > 1").select("part", "bucket"), ["part", "bucket"])
+    classes = rows.where("n > 0").groupBy("f1", "f2").agg(F.max("n").alias("n"))
+    return left.join(classes, "f1").select("part", "bucket", "f1", "f2", "n", "probe", "indexed")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a1, a2, b1, b2) whose sets are linked."""
     a = sets.select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("items").alias("a_items"))
@@ -331,6 +353,106 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
 
 
+def private_counts(items: DataFrame, groups: int) -> DataFrame:
+    """(f1, f2, own): shingles of each set that no other of these sets has (at least).
+
+    Shingles are dealt by hash to find the lone ones, these by set to be counted.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in range(0, b.num_rows, 1 << 10):
+                some = b.slice(first, 1 << 10)
+                data, offsets = S.texts_of(some.column(2))
+                h = data[offsets[0] : offsets[-1]].view(S.U)
+                who = np.repeat(np.arange(some.num_rows), np.diff(offsets) // 8)
+                part = (h % S.U(groups)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                f1, f2 = (some.column(i).to_numpy()[who[order]] for i in (0, 1))
+                yield _dealt(part[order], h[order], f1, f2)
+
+    def lone(key: tuple, rows: pa.Table) -> pa.Table:
+        h, f1, f2 = _joined(rows, "words", S.U), _joined(rows, "names"), _joined(rows, "more")
+        order = np.argsort(h)
+        h = h[order]
+        alone = np.ones(len(h), bool)
+        alone[1:] &= h[1:] != h[:-1]
+        alone[:-1] &= h[:-1] != h[1:]
+        f1, f2 = f1[order[alone]], f2[order[alone]]
+        part = f1 % groups
+        order = np.argsort(part, kind="stable")
+        out = _dealt(part[order], f1[order], f2[order])
+        return pa.Table.from_batches([out]).rename_columns(["part", "words", "names"])
+
+    def count(key: tuple, rows: pa.Table) -> pa.Table:
+        f1, f2 = _joined(rows, "words"), _joined(rows, "names")
+        order = np.lexsort((f2, f1))
+        f1, f2 = f1[order], f2[order]
+        head = np.flatnonzero(np.concatenate(([True], (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1]))))
+        return pa.Table.from_arrays([pa.array(f1[head]), pa.array(f2[head]), pa.array(np.diff(np.append(head, len(f1))))], ["f1", "f2", "own"])
+
+    dealt = items.select("f1", "f2", "items").mapInArrow(deal, DEALT + ", more binary")
+    return dealt.groupBy("part").applyInArrow(lone, DEALT).groupBy("part").applyInArrow(count, "f1 long, f2 long, own long")
+
+
+def signatures(items: DataFrame) -> DataFrame:
+    """(f1, f2, sign): parity bits of a set - two sets differ in at least as many shingles as in bits.
+
+    There are 2**k bits, at least twice the set's size; halves fold onto each other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x in b.column(2):
+                h = np.frombuffer(x.as_buffer(), np.uint64)
+                bits = 1 << max(6, int(2 * len(h) - 1).bit_length())
+                out.append(np.packbits(np.bincount((h % S.U(bits)).astype(np.int64), minlength=bits) & 1 == 1).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["f1", "f2", "sign"])
+
+    return items.select("f1", "f2", "items").mapInArrow(run, "f1 long, f2 long, sign binary")
+
+
+def may_link(p: bytes, q: bytes, n: int) -> bool:
+    """Whether sets with these parity bits and *n* shingles in both together can be similar."""
+    a, b = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return 7 * int(np.bitwise_count(a ^ b).sum()) <= n
+
+
+def sifted(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """(a1, a2, b1, b2) of the pairs (with an and bn) that their signatures leave open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            good = [may_link(p.as_py(), q.as_py(), n) for p, q, n in zip(x.column(4), x.column(5), x.column(6).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column(i) for i in range(4)], ["a1", "a2", "b1", "b2"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda t: signs.select(F.col("f1").alias(f"{t}1"), F.col("f2").alias(f"{t}2"), F.col("sign").alias(f"{t}s"))
+    met = pairs.join(side("b"), ["b1", "b2"]).join(side("a"), ["a1", "a2"])
+    return met.select("a1", "a2", "b1", "b2", "as", "bs", (F.col("an") + F.col("bn")).alias("n")).mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+
+
+def feasible(members: DataFrame, sets: DataFrame, groups: int, scrap: list[DataFrame]) -> DataFrame:
+    """Members that may still be similar to one of another component, with ``own``.
+
+    7 * (own + other's own) <= n + other's n must hold for some other member.
+    *scrap* gets the tables that the result reads.
+    """
+    spark = members.sparkSession
+    open_ = materialise(members, "open")
+    names = open_.select("f1", "f2").distinct()
+    own = materialise(private_counts(sets.join(names, ["f1", "f2"], "left_semi"), groups), "own")
+    release(spark)
+    scrap += [open_, own]
+    full = open_.join(own, ["f1", "f2"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    cost = 7 * F.col("own") - F.col("n")
+    least = full.groupBy("part", "bucket").agg(F.min(cost).alias("cheapest"))
+    return full.join(least, ["part", "bucket"]).where(cost + F.col("cheapest") <= 0).drop("cheapest")
+
+
 def class_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(f1, f2, items): the sorted shingle hashes of one document (rid, rhash) of each wanted class."""
 
@@ -381,41 +503,49 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id; with *keys* also rid and rhash."""
     spark = docs.sparkSession
-    longest = docs.agg(F.max(F.octet_length(whole_text(text_col)))).first()[0] or 0
-    plan = first_plan(longest + 1)
-    rows = materialise(document_sets(docs, plan, id_col, text_col), "sets")
-    facts = rows.agg(F.sum("n").alias("n"), F.max("n").alias("high")).first()
-    plan = {b: p for b, p in plan.items() if p[0] <= (facts.high or 0)}
-    short = {r.band for r in rows.select(F.explode("short").alias("band")).distinct().collect()}  # bands only
-    plan = check_plan(docs, plan, short & set(plan), text_col)
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((facts.n or 0) / GROUP_ENTRIES))
-    buckets = materialise(shared_buckets(packed_entries(docs, plan, groups, text_col)), "buckets")
+    rows, plan = planned_sets(docs, id_col, text_col)
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    groups = max(LEAST_GROUPS, math.ceil(total / GROUP_ENTRIES))
+    shared = materialise(shared_buckets(packed_entries(docs, plan, groups, text_col), plan), "shared")
     release(spark)
+    buckets = materialise(allocated(shared, rows, plan), "buckets")
+    release(spark, shared)
     classes = rows.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min(F.struct("rid", "rhash")).alias("row"))
     wanted = buckets.select("f1", "f2").distinct().join(classes, ["f1", "f2"]).select("f1", "f2", "row.*")
     sets = materialise(class_sets(docs, wanted, id_col, text_col), "items")
+    signs = materialise(signatures(sets), "signs")
     release(spark)
     labels = materialise(sets.select("f1", "f2", F.col("f1").alias("l1"), F.col("f2").alias("l2")), "labels")
     done: list[DataFrame] = []
-    similar = F.expr("4 * least(an, bn) >= 3 * greatest(an, bn)")
+    similar = F.expr("4 * least(an, bn) >= 3 * greatest(an, bn) and 7 * (ao + bo) <= an + bn")
     for turn in range(PIVOT_ROUNDS + 1):
+        scrap: list[DataFrame] = []
         open_ = unresolved(buckets, labels)
-        pairs = pivots(open_) if turn < PIVOT_ROUNDS else across(open_)
-        pairs = pairs.where(similar).select("a1", "a2", "b1", "b2")
+        if turn:
+            open_ = unresolved(feasible(open_, sets, groups, scrap).drop("l1", "l2", "label"), labels)
+        else:
+            open_ = open_.withColumn("own", F.lit(0))
+        pairs = pivots(open_, turn) if turn < PIVOT_ROUNDS else across(open_)
+        pairs = pairs.where(similar).select("a1", "a2", "b1", "b2", "an", "bn")
         if turn == 0:
             # a class that meets many pivots is first compared with the least of them
-            pairs = pairs.groupBy("b1", "b2").agg(F.min(F.struct("a1", "a2")).alias("a")).select("a.a1", "a.a2", "b1", "b2")
+            pairs = pairs.groupBy("b1", "b2", "bn").agg(F.min(F.struct("a1", "a2", "an")).alias("a")).select("a.*", "b1", "b2", "bn")
         else:
             pairs = pairs.distinct()
         for x in done:
-            pairs = pairs.join(x, ["a1", "a2", "b1", "b2"], "left_anti")
-        pairs = materialise(pairs, "pairs")
+            turned = x.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"))
+            pairs = pairs.join(x.union(turned), ["a1", "a2", "b1", "b2"], "left_anti")
+        pairs = materialise(sifted(pairs, signs), "pairs")
+        release(spark, *scrap)
         done.append(pairs)
+        if pairs.limit(1).count() == 0:
+            continue
         links = materialise(verified(pairs, sets), "verified")
         release(spark)
         after = components(labels, links)
         release(spark, labels, links)
         labels = after
+    release(spark, buckets, sets, signs, *done)
     whole = labels.select("f1", "f2", F.struct("l1", "l2").alias("label")).join(classes.select("f1", "f2", "id"), ["f1", "f2"], "right")
     whole = whole.withColumn("label", F.coalesce("label", F.struct(F.col("f1").alias("l1"), F.col("f2").alias("l2"))))
     least = whole.groupBy("label").agg(F.min("id").alias("component_id"))
@@ -430,24 +560,25 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def unresolved(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Members with labels of the buckets that hold more than one component."""
     named = buckets.join(labels, ["f1", "f2"]).withColumn("label", F.struct("l1", "l2"))
-    mixed = named.groupBy("part", "bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("part", "bucket", "least")
+    mixed = named.groupBy("part", "bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("part", "bucket")
     return named.join(mixed, ["part", "bucket"])
 
 
-def pivots(members: DataFrame) -> DataFrame:
-    """Each member outside the least component of its bucket, paired with one member inside."""
-    inside = members.where("label = least").groupBy("part", "bucket").agg(F.min(F.struct("f1", "f2", "n")).alias("p"))
-    outside = members.where("label <> least").select("part", "bucket", F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col("n").alias("bn"))
-    return outside.join(inside, ["part", "bucket"]).select(F.col("p.f1").alias("a1"), F.col("p.f2").alias("a2"), F.col("p.n").alias("an"), "b1", "b2", "bn")
+def pivots(members: DataFrame, turn: int) -> DataFrame:
+    """One probe of each bucket (the least, in the next turn the greatest) with the members of other components."""
+    best = F.min if turn % 2 == 0 else F.max
+    chosen = members.where("probe").groupBy("part", "bucket").agg(best(F.struct("label", "f1", "f2", "n", "own")).alias("p"))
+    met = members.join(chosen, ["part", "bucket"]).where("label <> p.label")
+    return met.select(F.col("p.f1").alias("a1"), F.col("p.f2").alias("a2"), F.col("p.n").alias("an"), F.col("p.own").alias("ao"), F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col("n").alias("bn"), F.col("own").alias("bo"))
 
 
 def across(members: DataFrame) -> DataFrame:
     """Probes and indexed members of one bucket that are in different components, smaller name first."""
-    side = lambda flag, t: members.where(flag).select("part", "bucket", F.col("f1").alias(f"{t}1"), F.col("f2").alias(f"{t}2"), F.col("n").alias(f"{t}n"), F.col("label").alias(f"{t}l"))
-    met = side("probe", "p").join(side("indexed", "q"), ["part", "bucket"]).where("pl <> ql")
+    side = lambda flag, t: members.where(flag).select("part", "bucket", F.col("f1").alias(f"{t}1"), F.col("f2").alias(f"{t}2"), F.col("n").alias(f"{t}n"), F.col("own").alias(f"{t}o"), F.col("label").alias(f"{t}l"))
+    met = side("probe", "p").join(side("indexed", "q"), ["part", "bucket"]).where("pl <> ql and 7 * (po + qo) <= pn + qn and 4 * least(pn, qn) >= 3 * greatest(pn, qn)")
     first = F.struct("p1", "p2") < F.struct(F.col("q1").alias("p1"), F.col("q2").alias("p2"))
     pickc = lambda c: (F.when(first, F.col(f"p{c}")).otherwise(F.col(f"q{c}")).alias(f"a{c}"), F.when(first, F.col(f"q{c}")).otherwise(F.col(f"p{c}")).alias(f"b{c}"))
-    return met.select(*pickc("1"), *pickc("2"), *pickc("n"))
+    return met.select(*pickc("1"), *pickc("2"), *pickc("n"), *pickc("o"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
