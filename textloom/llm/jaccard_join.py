@@ -53,7 +53,7 @@ PIVOT_ROUNDS = 2
 #: Packed entries that one reducing group holds, about.
 GROUP_ENTRIES = 1 << 20
 LEAST_GROUPS = 12
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 #: Bits of a packed entry: band, segment (where neighbours are indexed).
 BAND_BITS, SEGMENT_BITS = 6, 4
 
@@ -210,6 +210,7 @@ def document_sets(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> Da
                     [*(b.column(i).slice(first, n) for i in range(3)), pa.array(np.diff(bounds)), pa.array(f1), pa.array(f2), *lists],
                     ["rid", "rhash", "id", "n", "f1", "f2", "bands", "spares"],
                 )
+                S.trim()
 
     rows = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     return rows.mapInArrow(run, "rid long, rhash long, id long, n long, f1 long, f2 long, bands array<int>, spares array<int>")
@@ -313,7 +314,10 @@ def shared_buckets(packed: DataFrame, plan: Plan) -> DataFrame:
         part = key[0].as_py()
         alone = S.mix(bucket[i].view(S.U) ^ S.mix(np.full(len(i), part + 1, S.U))).view(np.int64)
         arrays = [np.full(len(i), part, np.int32), bucket[i], name[i], band.astype(np.int32), np.where(nears[band], seg, alone), size[i].astype(np.int32), indexed[i]]
-        return pa.Table.from_arrays([pa.array(x) for x in arrays], [x.split()[0] for x in BUCKETS.split(", ")])
+        out = pa.Table.from_arrays([pa.array(x) for x in arrays], [x.split()[0] for x in BUCKETS.split(", ")])
+        del word, name, order, bucket, twin
+        S.trim()
+        return out
 
     return packed.groupBy("part").applyInArrow(reduce, BUCKETS)
 
@@ -574,10 +578,15 @@ def pivots(members: DataFrame, turn: int) -> DataFrame:
 
 def across(members: DataFrame) -> DataFrame:
     """Probes and indexed members of one bucket that are in different components, smaller name first."""
-    side = lambda flag, t: members.where(flag).select("part", "bucket", F.col("f1").alias(f"{t}1"), F.col("f2").alias(f"{t}2"), F.col("n").alias(f"{t}n"), F.col("own").alias(f"{t}o"), F.col("label").alias(f"{t}l"))
-    met = side("probe", "p").join(side("indexed", "q"), ["part", "bucket"]).where("pl <> ql and 7 * (po + qo) <= pn + qn and 4 * least(pn, qn) >= 3 * greatest(pn, qn)")
-    first = F.struct("p1", "p2") < F.struct(F.col("q1").alias("p1"), F.col("q2").alias("p2"))
-    pickc = lambda c: (F.when(first, F.col(f"p{c}")).otherwise(F.col(f"q{c}")).alias(f"a{c}"), F.when(first, F.col(f"q{c}")).otherwise(F.col(f"p{c}")).alias(f"b{c}"))
+    side = lambda flag, t: members.where(flag).select(
+        "part", "bucket", *(F.col(c).alias(f"{t}{x}") for c, x in (("f1", "1"), ("f2", "2"), ("n", "n"), ("own", "o"), ("l1", "l"), ("l2", "m"), ("probe", "p"), ("indexed", "i")))
+    )
+    ahead = "(p1 < q1 or p1 = q1 and p2 < q2)"
+    # where both could take either part, the pair comes once
+    met = side("probe", "p").join(side("indexed", "q"), ["part", "bucket"]).where(
+        f"(pl <> ql or pm <> qm) and 7 * (po + qo) <= pn + qn and 4 * pn >= 3 * qn and 4 * qn >= 3 * pn and ({ahead} or not (qp and pi))"
+    )
+    pickc = lambda c: (F.expr(f"if({ahead}, p{c}, q{c}) AS a{c}"), F.expr(f"if({ahead}, q{c}, p{c}) AS b{c}"))
     return met.select(*pickc("1"), *pickc("2"), *pickc("n"), *pickc("o"))
 
 
