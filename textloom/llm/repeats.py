@@ -116,7 +116,9 @@ def nodes(edge_rows: DataFrame, spec: Spec) -> DataFrame:
 def walk(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of kind PLACE (a repeated span start:stop of a document) and CONTEXT (to be compared)."""
     edge_rows = materialise(edges(docs, spec, id_col, text_col), "edges")
-    found = edge_rows.select("rid", "rhash", "nth", "key").join(nodes(edge_rows, spec), "key")
+    # written, so that the join has plain shuffles on both sides and a frequent key is split
+    key_rows = materialise(nodes(edge_rows, spec), "nodes")
+    found = edge_rows.select("rid", "rhash", "nth", "key").join(key_rows, "key")
     #: At most one entry for each anchor of one document.
     per_doc = found.groupBy("rid", "rhash").agg(F.collect_set(F.struct("nth", "low", F.col("ahead").cast("int").alias("a"), F.col("back").cast("int").alias("b"))).alias("seen"))
 
@@ -136,7 +138,7 @@ def walk(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "t
     joined = _documents(docs, id_col, text_col).join(per_doc, ["rid", "rhash"]).select("rid", "rhash", "text", "seen")
     out = materialise(joined.mapInArrow(run, WALK), "walk")
     del found, per_doc, joined
-    release(docs.sparkSession, edge_rows)
+    release(docs.sparkSession, edge_rows, key_rows)
     return out
 
 
