@@ -34,7 +34,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_stream(docs, WEIGHTS, rest_weight=REST_WEIGHT)
+    return mixing.mixed_stream(docs, WEIGHTS, rest_weight=REST_WEIGHT, each_source=True)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

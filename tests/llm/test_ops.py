@@ -376,6 +376,27 @@ def test_mix(spark):
     assert mixing.mix(df.where("false"), {"src0": 1}).count() == 0
 
 
+def test_mix_each_source(spark):
+    rnd = random.Random(12)
+    names = ["src0", "src1", "a", "b", "c", "*", None]
+    rows = [(i, "t", "en", rnd.choice([*names, "a", "a", "a"]), 1) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = mixing.mix(df, {"src0": 3, "src1": 1}, 2.0, block_rows=4, resolution=64, each_source=True).collect()
+    assert len(out) == len(rows) and {(r.source, r["class"]) for r in out} == {(n, "**" if n is None else n) for n in names}
+    shares = mixing.quotas({"src0": 3, "src1": 1, **dict.fromkeys(["a", "b", "c", "*", "**"], 2.0 / 5)}, 64)
+    blocks = {}
+    for r in out:
+        blocks.setdefault((r["class"], r.block), set()).add((r.slot, r.release, r.deadline))
+        assert r.release == r.block * 64 // shares[r["class"]] and r.deadline == -(-(r.block + 1) * 64 // shares[r["class"]])
+        assert r.release <= r.slot < r.deadline
+    assert all(len(s) == 1 for s in blocks.values()) and len({s for s in map(frozenset, blocks.values())}) == len(blocks)
+    for name in shares:
+        mine = sorted((r for r in out if r["class"] == name), key=lambda r: (r.slot, r.row_in_block))
+        assert [(r.block, r.row_in_block) for r in mine] == [divmod(i, 4) for i in range(len(mine))]
+        assert [r.doc_id for r in mine] == sorted((r.doc_id for r in mine), key=lambda d: hashlib.md5(str(d).encode()).hexdigest())
+    assert mixing.mix(df.where("false"), {}, each_source=True).count() == 0
+
+
 # op10
 
 

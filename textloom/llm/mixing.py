@@ -8,8 +8,10 @@ more or less than its share. Weights are rounded to multiples of 1/resolution;
 the schedule then repeats every ``resolution`` slots, so only that many slots
 are ever computed on the driver and broadcast, whatever the number of rows.
 
-A source without a weight, and a null source, count as the class ``*``. Slots
-of a class that has run out stay empty; all rows are kept. Ranks come from
+A source without a weight, and a null source, count as the class ``*``; with
+``each_source`` every one of them is a class of its own, with an equal part of
+that class's weight. Slots of a class that has run out stay empty; all rows are
+kept. Ranks come from
 counts of digest buckets (two levels of prefix sums), never from one task that
 holds a whole source. Null ids sort by the digest of the empty string. An
 empty table gives an empty result; other columns are not read.
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 REST = "*"
 BLOCK_ROWS = 16
 RESOLUTION = 1024
+#: Sources that each_source schedules on the driver; more are refused, not pooled.
+MOST_SOURCES = 1 << 14
 #: Rows that a digest bucket has on average, over all sources.
 BUCKET_ROWS = 1024
 
@@ -43,14 +47,35 @@ def quotas(weights: Mapping[str, float], resolution: int = RESOLUTION) -> dict[s
     total = sum(Fraction(weights[n]) for n in names)
     exact = {n: Fraction(weights[n]) * resolution / total for n in names}
     out = {n: max(1, math.floor(exact[n])) for n in names}
-    while (short := resolution - sum(out.values())) != 0:
-        sign = 1 if short > 0 else -1
-        free = [n for n in names if sign > 0 or out[n] > 1]
-        n = max(free, key=lambda n: (sign * (exact[n] - out[n]), -names.index(n)))
-        out[n] += sign
+    short = resolution - sum(out.values())
+    sign = 1 if short > 0 else -1
+    nearest = [(sign * (out[n] - exact[n]), i) for i, n in enumerate(names)]
+    heapq.heapify(nearest)
+    while short:
+        _, i = heapq.heappop(nearest)
+        if sign > 0 or out[names[i]] > 1:
+            out[names[i]] += sign
+            short -= sign
+            heapq.heappush(nearest, (sign * (out[names[i]] - exact[names[i]]), i))
     return out
 
 
+def source_weights(docs: DataFrame, weights: Mapping[str, float], rest_weight: float, source_col: str = "source") -> tuple[dict[str, float], str]:
+    """A weight for every source of *docs*, and the class name of the null source.
+
+    The sources that *weights* lacks share *rest_weight* equally.
+    """
+    rows = docs.select(F.col(source_col).cast("string").alias("source")).distinct().limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"over {MOST_SOURCES} sources")
+    found = {r.source for r in rows}
+    none = REST
+    while none in found or none in weights:
+        none += REST
+    rest = sorted((none if s is None else s) for s in found if s not in weights)
+    return ({**weights, **{s: rest_weight / len(rest) for s in rest}} or {none: rest_weight}), none
+
+
 def schedule(shares: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
     """(class, j from 0, slot, release, deadline) for one period, by earliest deadline."""
     period = sum(shares.values())
@@ -70,15 +95,23 @@ def schedule(shares: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float], rest_weight: float = 1.0, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, id_col: str = "doc_id", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float], rest_weight: float = 1.0, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, id_col: str = "doc_id", source_col: str = "source", carry: list[str] | None = None, each_source: bool = False) -> DataFrame:
     """One row per input row: doc_id, source, class, block, row_in_block, slot, release, deadline.
 
     Ordering by (slot, row_in_block) is the mixed stream. *carry*: columns of
-    the input handed on as the struct ``carried``.
+    the input handed on as the struct ``carried``. *each_source*: no source
+    shares a class; the resolution grows to four slots for each class at least.
     """
     spark = docs.sparkSession
-    shares = quotas({**weights, REST: rest_weight}, resolution)
-    named = [n for n in shares if n != REST]
+    if each_source:
+        classes, none = source_weights(docs, weights, rest_weight, source_col)
+        resolution = max(resolution, 4 * len(classes))
+        shares = quotas(classes, resolution)
+        label = F.coalesce(F.col(source_col).cast("string"), F.lit(none))
+    else:
+        shares = quotas({**weights, REST: rest_weight}, resolution)
+        named = [n for n in shares if n != REST]
+        label = F.when(F.col(source_col).isin(named), F.col(source_col)).otherwise(F.lit(REST))
     plan = spark.createDataFrame(schedule(shares), "class string, j long, at long, release_at long, due_at long")
     share = spark.createDataFrame(sorted(shares.items()), "class string, share long")
     n = docs.count()
@@ -89,7 +122,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float], rest_weight: float = 1.0,
         return docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
-            F.when(F.col(source_col).isin(named), F.col(source_col)).otherwise(F.lit(REST)).alias("class"),
+            label.alias("class"),
             digest.alias("digest"),
             *more,
         ).withColumns({"upper": F.substring("digest", 1, low), "lower": F.substring("digest", low + 1, low)})

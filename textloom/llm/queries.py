@@ -50,6 +50,10 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents"), WEIGHTS, REST_WEIGHT)
 
 
+def op9_mixing_by_source(spark, sf_dir):
+    return mixing.mix(read_table(spark, sf_dir, "documents"), WEIGHTS, REST_WEIGHT, each_source=True)
+
+
 def op10_secret_scan(spark, sf_dir):
     return secret_scan.scan_digest(read_table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def pipeline(spark, sf_dir):
 def queries():
     ops = (
         op1_suffix_array_dedup, op2_substring_dedup, op3_topk_search, op4_sentencepiece_sampling, op5_exact_dedup,
-        op6_quality_classifier, op7_jaccard_join, op8_sharding, op9_mixing, op10_secret_scan, pipeline,
+        op6_quality_classifier, op7_jaccard_join, op8_sharding, op9_mixing, op9_mixing_by_source, op10_secret_scan, pipeline,
     )
     return {f.__name__: f for f in ops}
 
