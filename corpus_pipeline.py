@@ -4,7 +4,8 @@
 2. exact: of texts equal after white space is normalised, the smallest id stays.
 3. near: of each component of near duplicates, the smallest id stays.
 4. mix: documents are dealt in blocks by target weights; files are in stream order.
-5. encode: one sampled segmentation of each document, as token ids.
+5. encode: one sampled segmentation of each document, as token ids, with the
+   document's position in the stream.
 
 Every stage but the last returns the columns of documents. A stage's result is
 written as Parquet and read again by the next one. Empty tables pass through.
@@ -38,7 +39,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lattice.encode_samples(docs, MODEL_FILE, k=1)
+    return lattice.encode_samples(mixing.with_positions(docs), MODEL_FILE, k=1, carry=["position"])
 
 
 STAGES = [

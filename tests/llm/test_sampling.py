@@ -122,3 +122,29 @@ def test_pipeline(spark, tmp_path):
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert {(r.doc_id, r.ids_sha256) for r in run.collect()} == {(r.doc_id, r.ids_sha256) for r in cur.collect()}
     assert CLASH
+
+
+def test_pipeline_order(spark, tmp_path):
+    """Positions after the reread are the ranks of the schedule, though the reader packs files otherwise."""
+    import corpus_pipeline
+    from textloom.llm import mixing
+    from textloom.llm.queries import REST_WEIGHT, WEIGHTS
+
+    rows = [(i, "a b " * (1 + i % 97), "en", [f"src{i % 20}", None, "src0"][min(i % 31, 2)], 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stages = dict(corpus_pipeline.STAGES)
+        stages["mixing sources to target weights"](spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+        mixed = spark.read.parquet(str(tmp_path / "mixed"))
+        assert len(mixed.inputFiles()) > 1
+        out = stages["SentencePiece encoding"](spark, mixed, "").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    plan = mixing.mix(docs, WEIGHTS, REST_WEIGHT, each_source=True).orderBy("slot", "row_in_block").collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.position)] == [r.doc_id for r in plan]
+    assert sorted(r.position for r in out) == list(range(len(rows)))
+    empty = docs.where("false")
+    stages["mixing sources to target weights"](spark, empty, "").write.parquet(str(tmp_path / "none"))
+    assert stages["SentencePiece encoding"](spark, spark.read.parquet(str(tmp_path / "none")), "").count() == 0

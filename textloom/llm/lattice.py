@@ -466,9 +466,10 @@ class Chunk:
 OUT = "sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, round_trip boolean"
 
 
-def encode_samples(docs: DataFrame, model_file: str, k: int = 2, theta: float = THETA, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_samples(docs: DataFrame, model_file: str, k: int = 2, theta: float = THETA, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, carry: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """Up to *k* rows per input row: doc_id, sample (from 1), n_pieces, log_prob, perturbed,
-    log_inclusion, ids_sha256 (little-endian 32-bit ids), round_trip (decoding gives the text) and ids.
+    log_inclusion, ids_sha256 (little-endian 32-bit ids), round_trip (decoding gives the text) and ids,
+    then the columns *carry* of the input.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -496,10 +497,13 @@ def encode_samples(docs: DataFrame, model_file: str, k: int = 2, theta: float =
                     if with_ids:
                         arrays.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))))
                         names.append("ids")
+                    arrays += [b.column(4 + i).take(pa.array(docs_ + first)) for i in range(len(carry))]
+                    names += carry
                     yield pa.RecordBatch.from_arrays(arrays, names)
                     del ids, packed, text, arrays
                 del chunk
                 S.trim()
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, {OUT}" + (", ids array<int>" if with_ids else ""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), whole_text(text_col).alias("text"), *carry)
+    more = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in carry)
+    return rows.mapInArrow(run, f"doc_id {kind}, {OUT}" + (", ids array<int>" if with_ids else "") + more)

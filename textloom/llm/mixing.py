@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections.abc import Mapping
 from fractions import Fraction
 
@@ -162,3 +163,20 @@ def mixed_stream(docs: DataFrame, weights: Mapping[str, float], **options) -> Da
     """*docs* with all its columns, dealt to files and sorted in the mixed order."""
     out = mix(docs, weights, carry=docs.columns, **options)
     return out.repartitionByRange("slot", "row_in_block").sortWithinPartitions("slot", "row_in_block").select("carried.*")
+
+
+def with_positions(stream: DataFrame) -> DataFrame:
+    """*stream*, read from the Parquet files of a written mixed_stream, with its order as ``position`` from 0.
+
+    A reader packs files into partitions by size; the order is that of the part
+    numbers in the files' names and of the rows inside a file. Only the files'
+    row counts are collected.
+    """
+    rows = stream.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    sizes = rows.groupBy("__file").count().collect()
+    start, starts = 0, []
+    for r in sorted(sizes, key=lambda r: (*(int(x) for x in re.match(r"part-(\d+)-.*?-c(\d+)\.", r["__file"]).groups()), r["__file"])):
+        starts.append((r["__file"], start))
+        start += r["count"]
+    at = stream.sparkSession.createDataFrame(starts, "__file string, __start long")
+    return rows.join(F.broadcast(at), "__file").withColumn("position", F.col("__start") + F.col("__row")).select(*stream.columns, "position")
