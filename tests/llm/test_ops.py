@@ -285,6 +285,14 @@ def test_jaccard(spark):
     assert set(got) == want and set(got.values()) == {1}
 
 
+def test_near_copies_of_one_id(spark):
+    """Components that have their least id in common all keep a document."""
+    text = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    rows = [(7, text("a")), (8, text("a") + " more"), (7, text("b")), (7, text("b") + " more"), (9, text("b")), (7, text("c")), (9, text("d")), (7, ""), (None, text("c"))]
+    kept = jaccard_join.drop_near_copies(frame(spark, rows), each_component=True).collect()
+    assert sorted((r.doc_id, r.text[:2]) for r in kept) == [(7, ""), (7, "a0"), (7, "b0"), (7, "c0"), (9, "d0")]
+
+
 def test_jaccard_pigeonhole():
     """Any two similar sets meet in a bucket that the larger one may not give up."""
     rnd = np.random.default_rng(3)

@@ -505,7 +505,7 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id; with *keys* also rid and rhash."""
+    """One row per input row: doc_id, n_shingles, component_id; with *keys* also rid, rhash and the component's label l1, l2 (null for an empty set)."""
     spark = docs.sparkSession
     rows, plan = planned_sets(docs, id_col, text_col)
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -553,11 +553,12 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = labels.select("f1", "f2", F.struct("l1", "l2").alias("label")).join(classes.select("f1", "f2", "id"), ["f1", "f2"], "right")
     whole = whole.withColumn("label", F.coalesce("label", F.struct(F.col("f1").alias("l1"), F.col("f2").alias("l2"))))
     least = whole.groupBy("label").agg(F.min("id").alias("component_id"))
-    ids = whole.select("f1", "f2", "label").join(least, "label").select("f1", "f2", "component_id")
+    ids = whole.select("f1", "f2", "label").join(least, "label").select("f1", "f2", "component_id", "label.l1", "label.l2")
     names = [F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")]
-    more = ["rid", "rhash"] if keys else []
+    more = ["rid", "rhash", "l1", "l2"] if keys else []
     full = rows.where("n > 0").join(ids, ["f1", "f2"]).select(*names, "component_id", *more)
-    none = rows.where("n = 0").select(*names, F.col("id").alias("component_id"), *more)
+    none = rows.where("n = 0").withColumns({c: F.lit(None).cast(ids.schema[c].dataType) for c in ("l1", "l2")})
+    none = none.select(*names, F.col("id").alias("component_id"), *more)
     return full.union(none)
 
 
@@ -590,15 +591,17 @@ def across(members: DataFrame) -> DataFrame:
     return met.select(*pickc("1"), *pickc("2"), *pickc("n"), *pickc("o"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", each_component: bool = False) -> DataFrame:
     """*docs* with one document of each component, with all columns it had.
 
     The row with the component's smallest id stays (of several with that id, one).
+    Components that share their smallest id keep one row together, or with
+    *each_component* a row each.
     Rows with an empty set, and those of components without any id, all stay but
     for exact repeats of a row.
     """
     found = join_components(docs, id_col, text_col, keys=True)
-    grouped = found.where("n_shingles > 0 and doc_id = component_id").groupBy("rid").agg(F.min("rhash").alias("rhash"))
+    grouped = found.where("n_shingles > 0 and doc_id = component_id").groupBy(*(("l1", "l2") if each_component else ("rid",))).agg(F.min(F.struct("rid", "rhash")).alias("row")).select("row.*")
     single = found.where("n_shingles = 0 or component_id is null").select("rid", "rhash").distinct()
     names = ("__rid", "__rhash")
     keyed = docs.select("*", *(c.alias(n) for c, n in zip(row_key(id_col, text_col), names, strict=True)))
