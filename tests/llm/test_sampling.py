@@ -148,3 +148,14 @@ def test_pipeline_order(spark, tmp_path):
     empty = docs.where("false")
     stages["mixing sources to target weights"](spark, empty, "").write.parquet(str(tmp_path / "none"))
     assert stages["SentencePiece encoding"](spark, spark.read.parquet(str(tmp_path / "none")), "").count() == 0
+
+
+def test_query_returns_the_encodings(spark, tmp_path):
+    import hashlib
+
+    from textloom.llm import queries
+
+    frame(spark, [(1, "hello world"), (2, "")]).write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op4_sentencepiece_sampling(spark, str(tmp_path)).collect()
+    assert len(out) == 3 and all(len(r.ids) == r.n_pieces for r in out)
+    assert all(hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() == r.ids_sha256 for r in out)

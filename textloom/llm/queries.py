@@ -27,7 +27,7 @@ def op3_topk_search(spark, sf_dir):
 
 
 def op4_sentencepiece_sampling(spark, sf_dir):
-    return lattice.encode_samples(read_table(spark, sf_dir, "documents"), MODEL_FILE, SAMPLES, with_ids=False)
+    return lattice.encode_samples(read_table(spark, sf_dir, "documents"), MODEL_FILE, SAMPLES)
 
 
 def op5_exact_dedup(spark, sf_dir):
