@@ -465,3 +465,28 @@ def test_words_and_anchors():
     by = {}
     for s, o in place.items():
         assert by.setdefault(raw[s : s + 40], o) == o
+
+
+def test_jaccard_one_group(spark):
+    """A large group of near copies around the threshold, with a passage that many other texts share."""
+    rnd = random.Random(11)
+    vocab = [f"v{i}" for i in range(3000)]
+    base = [rnd.choice(vocab) for _ in range(120)]
+    texts = []
+    for _ in range(500):
+        w = list(base)
+        for _ in range(rnd.choice([0, 1, 2, 3, 4, 5, 6, 8, 12])):
+            w[rnd.randrange(len(w))] = rnd.choice(vocab[:40])
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:60] + [rnd.choice(vocab) for _ in range(rnd.randint(1, 40))]) for _ in range(150)]
+    rows = list(enumerate(texts))
+    same(jaccard_join.join_components(frame(spark, rows)), brute_components(rows))
+
+
+def test_jaccard_clash_and_empty(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x"), (4, None)]
+    df = frame(spark, rows).withColumn("__rid", F.lit(1)).withColumn("_rid", F.lit(2))
+    kept = jaccard_join.drop_near_copies(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    assert jaccard_join.join_components(df.where("false")).count() == 0
+    assert jaccard_join.drop_near_copies(df.where("false")).count() == 0

@@ -43,6 +43,17 @@ def row_id() -> Column:
     return F.when(F.col("rhash").bitwiseAND(F.lit(1)) == 0, F.col("rid"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like *names* that *df* does not have (letter case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

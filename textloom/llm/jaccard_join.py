@@ -19,10 +19,11 @@ probe nowhere, and no pair is lost.
 Sets that are equal become one class first. Buckets (segment, content) are
 built from packed arrays. In a bucket, members are first compared with one
 probe; those that the verified links join into one component need no further
-comparison. For the others the shingles that no other open class has are
-counted: two sets differ at least in the private shingles of both, which
-settles most pairs of a large group without looking at them, and the rest of
-the members in still different components are compared with each other. All comparisons are exact on the sets of 64-bit shingle hashes.
+comparison. The others are settled in rounds by pivots (see one_round()): what
+sets differ in from a central member is small and mostly rare, and sets that are
+linked but not to the pivot must have much of it in common, so the pigeonhole
+principle over these rare shingles leaves few pairs. All comparisons are exact
+on the sets of 64-bit shingle hashes.
 
 Null, empty and wordless texts have an empty set and link with nothing; their
 component is their own id. Repeated rows and ids are fine; a null id is never a
@@ -42,14 +43,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.llm import symbols as S
-from textloom.llm.common import materialise, release, row_key, whole_text
+from textloom.llm.common import fresh, materialise, release, row_key, whole_text
 
 SHINGLE = 5
 RATIO = 1.6
 #: Bands whose sets have up to this many shingles index one-deletion neighbours.
 SMALL = 24
-#: Rounds of pivots before members of different components are compared pairwise.
-PIVOT_ROUNDS = 2
+#: Pairs for each member of a pivot's group that a first round compares one by one.
+PAIRS_PER_MEMBER = 64
 #: Packed entries that one reducing group holds, about.
 GROUP_ENTRIES = 1 << 20
 LEAST_GROUPS = 12
@@ -57,6 +58,9 @@ CHUNK_BYTES = 1 << 20
 #: Bits of a packed entry: band, segment (where neighbours are indexed).
 BAND_BITS, SEGMENT_BITS = 6, 4
 
+BUCKET = ["part", "bucket"]
+CLASS = ["f1", "f2"]
+PIVOT = ["p1", "p2"]
 Plan = dict[int, tuple[int, int, int, bool]]  # band -> (least size, largest size, segments, neighbours)
 
 
@@ -267,7 +271,7 @@ def _dealt(part: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     parts, at = np.unique(part, return_index=True)
     stop = np.append(at[1:], len(part))
     blobs = [pa.array([c[i:j].tobytes() for i, j in zip(at, stop, strict=True)], pa.binary()) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), *blobs], ["part", "words", "names", "more"][: 1 + len(blobs)])
+    return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), *blobs], ["part", "words", "names", "more", "most"][: 1 + len(blobs)])
 
 
 def _joined(rows: pa.Table, name: str, kind=np.int64) -> np.ndarray:
@@ -339,122 +343,210 @@ def allocated(buckets: DataFrame, rows: DataFrame, plan: Plan) -> DataFrame:
     return left.join(classes, "f1").select("part", "bucket", "f1", "f2", "n", "probe", "indexed")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a1, a2, b1, b2) whose sets are linked."""
-    a = sets.select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("items").alias("a_items"))
-    b = sets.select(F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col("items").alias("b_items"))
+def distances(pairs: DataFrame, sets: DataFrame, items: str = "items") -> DataFrame:
+    """The pairs (a1, a2, b1, b2, ...) with ``d``, the size of the symmetric difference of their *items*.
+
+    A class that *sets* lacks has no items.
+    """
+    a = sets.select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col(items).alias("a_items"))
+    b = sets.select(F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col(items).alias("b_items"))
+    columns = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            good = []
-            for p, q in zip(x.column(4), x.column(5), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
-                both = np.sort(np.concatenate((p, q)), kind="stable")
-                good.append(bool(linked(int((both[1:] == both[:-1]).sum()), len(p), len(q))))
-            yield pa.RecordBatch.from_arrays([x.column(i) for i in range(4)], ["a1", "a2", "b1", "b2"]).filter(pa.array(good, pa.bool_()))
+            apart = []
+            for p, q in zip(x.column(len(columns)), x.column(len(columns) + 1), strict=True):
+                both = np.sort(np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q) if v.is_valid] or [np.zeros(0, np.uint64)]), kind="stable")
+                apart.append(len(both) - 2 * int((both[1:] == both[:-1]).sum()))
+            yield pa.RecordBatch.from_arrays([*(x.column(i) for i in range(len(columns))), pa.array(apart, pa.int64())], [*columns, "d"])
+
+    met = pairs.join(b, ["b1", "b2"], "left").join(a, ["a1", "a2"], "left").select(*columns, "a_items", "b_items")
+    return met.mapInArrow(run, ", ".join(f"{c} long" for c in [*columns, "d"]))
+
 
-    met = pairs.join(b, ["b1", "b2"]).join(a, ["a1", "a2"]).select("a1", "a2", "b1", "b2", "a_items", "b_items")
-    return met.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+def links_of(apart: DataFrame) -> DataFrame:
+    """The linked ones of the pairs with sizes an, bn and distance d: 100 * intersection >= 75 * union."""
+    return apart.where("7 * d <= an + bn").select("a1", "a2", "b1", "b2")
 
 
-def private_counts(items: DataFrame, groups: int) -> DataFrame:
-    """(f1, f2, own): shingles of each set that no other of these sets has (at least).
+def shared_parts(members: DataFrame, sets: DataFrame, groups: int) -> DataFrame:
+    """(f1, f2, shared): of each open class's shingles those that a class of another component has too.
 
-    Shingles are dealt by hash to find the lone ones, these by set to be counted.
+    *members* has the classes with their label. Shingles are dealt by hash to
+    find the components that hold them, then by class.
     """
+    whose = F.xxhash64("label.l1", "label.l2").alias("whose")
+    items = sets.join(members.select(*CLASS, whose).distinct(), CLASS).select(*CLASS, "whose", "items")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first in range(0, b.num_rows, 1 << 10):
                 some = b.slice(first, 1 << 10)
-                data, offsets = S.texts_of(some.column(2))
+                data, offsets = S.texts_of(some.column(3))
                 h = data[offsets[0] : offsets[-1]].view(S.U)
                 who = np.repeat(np.arange(some.num_rows), np.diff(offsets) // 8)
                 part = (h % S.U(groups)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                f1, f2 = (some.column(i).to_numpy()[who[order]] for i in (0, 1))
-                yield _dealt(part[order], h[order], f1, f2)
-
-    def lone(key: tuple, rows: pa.Table) -> pa.Table:
-        h, f1, f2 = _joined(rows, "words", S.U), _joined(rows, "names"), _joined(rows, "more")
-        order = np.argsort(h)
-        h = h[order]
-        alone = np.ones(len(h), bool)
-        alone[1:] &= h[1:] != h[:-1]
-        alone[:-1] &= h[:-1] != h[1:]
-        f1, f2 = f1[order[alone]], f2[order[alone]]
+                yield _dealt(part[order], h[order], *(some.column(i).to_numpy()[who[order]] for i in range(3)))
+
+    def met(key: tuple, rows: pa.Table) -> pa.Table:
+        h, f1, f2, whose = _joined(rows, "words", S.U), *(_joined(rows, c) for c in ("names", "more", "most"))
+        order = np.lexsort((whose, h))
+        h, whose = h[order], whose[order]
+        head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        last = np.append(head[1:], len(h)) - 1
+        both = np.repeat(whose[head] != whose[last], np.diff(np.append(head, len(h))))
+        h, f1, f2 = h[both], f1[order[both]], f2[order[both]]
         part = f1 % groups
         order = np.argsort(part, kind="stable")
-        out = _dealt(part[order], f1[order], f2[order])
-        return pa.Table.from_batches([out]).rename_columns(["part", "words", "names"])
+        return pa.Table.from_batches([_dealt(part[order], h[order], f1[order], f2[order])])
 
-    def count(key: tuple, rows: pa.Table) -> pa.Table:
-        f1, f2 = _joined(rows, "words"), _joined(rows, "names")
-        order = np.lexsort((f2, f1))
-        f1, f2 = f1[order], f2[order]
+    def gather(key: tuple, rows: pa.Table) -> pa.Table:
+        h, f1, f2 = _joined(rows, "words", S.U), _joined(rows, "names"), _joined(rows, "more")
+        order = np.lexsort((h, f2, f1))
+        h, f1, f2 = h[order], f1[order], f2[order]
         head = np.flatnonzero(np.concatenate(([True], (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1]))))
-        return pa.Table.from_arrays([pa.array(f1[head]), pa.array(f2[head]), pa.array(np.diff(np.append(head, len(f1))))], ["f1", "f2", "own"])
+        return pa.Table.from_arrays([pa.array(f1[head]), pa.array(f2[head]), S.binary(h, np.append(head, len(h)))], ["f1", "f2", "shared"])
 
-    dealt = items.select("f1", "f2", "items").mapInArrow(deal, DEALT + ", more binary")
-    return dealt.groupBy("part").applyInArrow(lone, DEALT).groupBy("part").applyInArrow(count, "f1 long, f2 long, own long")
+    more = DEALT + ", more binary"
+    dealt = items.mapInArrow(deal, more + ", most binary")
+    return dealt.groupBy("part").applyInArrow(met, more).groupBy("part").applyInArrow(gather, "f1 long, f2 long, shared binary")
 
 
-def signatures(items: DataFrame) -> DataFrame:
-    """(f1, f2, sign): parity bits of a set - two sets differ in at least as many shingles as in bits.
-
-    There are 2**k bits, at least twice the set's size; halves fold onto each other.
-    """
+def deltas(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows (p1, p2, f1, f2, ...) with ``delta``: the shingles that only one of p' and the class's x' has, sorted."""
+    columns = members.columns
+    kinds = dict(members.select(*columns).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for x in b.column(2):
-                h = np.frombuffer(x.as_buffer(), np.uint64)
-                bits = 1 << max(6, int(2 * len(h) - 1).bit_length())
-                out.append(np.packbits(np.bincount((h % S.U(bits)).astype(np.int64), minlength=bits) & 1 == 1).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["f1", "f2", "sign"])
+            for p, q in zip(b.column(len(columns)), b.column(len(columns) + 1), strict=True):
+                h = np.sort(np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q) if v.is_valid] or [np.zeros(0, np.uint64)]), kind="stable")
+                alone = np.ones(len(h), bool)
+                alone[1:] &= h[1:] != h[:-1]
+                alone[:-1] &= h[:-1] != h[1:]
+                out.append(h[alone].tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), pa.array(out, pa.binary())], [*columns, "delta"])
 
-    return items.select("f1", "f2", "items").mapInArrow(run, "f1 long, f2 long, sign binary")
+    side = lambda t, c: parts.select(F.col("f1").alias(f"{t}1"), F.col("f2").alias(f"{t}2"), F.col("shared").alias(c))
+    met = members.join(side("f", "x_part"), CLASS, "left").join(side("p", "p_part"), PIVOT, "left").select(*columns, "p_part", "x_part")
+    return met.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", delta binary")
 
 
-def may_link(p: bytes, q: bytes, n: int) -> bool:
-    """Whether sets with these parity bits and *n* shingles in both together can be similar."""
-    a, b = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
-    while len(a) != len(b):
-        a, b = (a, b) if len(a) > len(b) else (b, a)
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    return 7 * int(np.bitwise_count(a ^ b).sum()) <= n
+def tokens(members: DataFrame) -> DataFrame:
+    """(p1, p2, f1, f2, token): a row for each shingle of a member's delta."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in range(0, b.num_rows, 1 << 10):
+                some = b.slice(first, 1 << 10)
+                data, offsets = S.texts_of(some.column(4))
+                h = data[offsets[0] : offsets[-1]].view(np.int64)
+                who = np.repeat(np.arange(some.num_rows), np.diff(offsets) // 8)
+                yield pa.RecordBatch.from_arrays([*(pa.array(some.column(i).to_numpy()[who]) for i in range(4)), pa.array(h)], [*PIVOT, *CLASS, "token"])
 
-def sifted(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """(a1, a2, b1, b2) of the pairs (with an and bn) that their signatures leave open."""
+    return members.select(*PIVOT, *CLASS, "delta").mapInArrow(run, "p1 long, p2 long, f1 long, f2 long, token long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            good = [may_link(p.as_py(), q.as_py(), n) for p, q, n in zip(x.column(4), x.column(5), x.column(6).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([x.column(i) for i in range(4)], ["a1", "a2", "b1", "b2"]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda t: signs.select(F.col("f1").alias(f"{t}1"), F.col("f2").alias(f"{t}2"), F.col("sign").alias(f"{t}s"))
-    met = pairs.join(side("b"), ["b1", "b2"]).join(side("a"), ["a1", "a2"])
-    return met.select("a1", "a2", "b1", "b2", "as", "bs", (F.col("an") + F.col("bn")).alias("n")).mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+def one_round(members: DataFrame, labels: DataFrame, sets: DataFrame, groups: int, generous: int) -> tuple[DataFrame, DataFrame]:
+    """One round over unsettled buckets: (the members that are not settled yet, written; the labels).
 
+    Let own(x) be the number of shingles of x that no other component has, and
+    x' the rest of x. The members of least own of all buckets are the
+    central sets; each bucket takes as its pivot p the one, of those that its
+    members meet in their buckets, that most sets meet. The members of all
+    buckets of one pivot are a group, and each keeps its
+    delta, the symmetric difference of p' and x'. With r(x) = 7 * (own(x) +
+    |delta(x)|) - n(x), sets x and y of different components are linked if and
+    only if
 
-def feasible(members: DataFrame, sets: DataFrame, groups: int, scrap: list[DataFrame]) -> DataFrame:
-    """Members that may still be similar to one of another component, with ``own``.
+        14 * |delta(x) & delta(y)| >= r(x) + r(y)
 
-    7 * (own + other's own) <= n + other's n must hold for some other member.
-    *scrap* gets the tables that the result reads.
+    If that holds with no common shingle, both are linked to the member with the
+    least r for the same reason: these links are applied first. All others must
+    have so many shingles of their deltas in common, which few have. A member
+    that needs more than its delta holds leaves. Of the rest each looks only at
+    the rarest shingles of its delta, as many as cannot all be missed (if c of m
+    must be common, one is among any m - c + 1). Members with such a shingle in
+    common are compared; groups in which they would make more than *generous*
+    pairs a member wait for a round with another pivot. Pivots are settled.
     """
     spark = members.sparkSession
-    open_ = materialise(members, "open")
-    names = open_.select("f1", "f2").distinct()
-    own = materialise(private_counts(sets.join(names, ["f1", "f2"], "left_semi"), groups), "own")
-    release(spark)
-    scrap += [open_, own]
-    full = open_.join(own, ["f1", "f2"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    cost = 7 * F.col("own") - F.col("n")
-    least = full.groupBy("part", "bucket").agg(F.min(cost).alias("cheapest"))
-    return full.join(least, ["part", "bucket"]).where(cost + F.col("cheapest") <= 0).drop("cheapest")
+    parts = materialise(shared_parts(members, sets, groups), "shared")
+    own = F.col("n") - F.coalesce(F.floor(F.octet_length("shared") / 8), F.lit(0))
+    full = members.join(parts, CLASS, "left").withColumn("own", own).drop("shared")
+    central = full.groupBy(*BUCKET).agg(F.min(F.struct("seen", "own", *CLASS)).alias("c")).select(*BUCKET, F.struct("c.f1", "c.f2").alias("p"))
+    met = full.join(central, BUCKET).select(*CLASS, "p").distinct()
+    known = met.join(met.groupBy("p").agg(F.count(F.lit(1)).alias("k")), "p").groupBy(*CLASS).agg(F.max(F.struct("k", "p")).alias("best"))
+    best = full.join(known, CLASS).groupBy(*BUCKET).agg(F.max("best").alias("best"))
+    chosen = materialise(best.select(*BUCKET, F.col("best.p.f1").alias("p1"), F.col("best.p.f2").alias("p2")), "pivots")
+    group = full.join(chosen, BUCKET).select(*PIVOT, *CLASS, "n", "own").distinct()
+    size = F.floor(F.octet_length("delta") / 8)
+    group = materialise(deltas(group, parts).withColumn("r", 7 * (F.col("own") + size) - F.col("n")), "deltas")
+    least = group.groupBy(*PIVOT).agg(F.min(F.struct("r", *CLASS)).alias("m"))
+    sure = group.join(least, PIVOT).where("r + m.r <= 0 and (f1 <> m.f1 or f2 <> m.f2)")
+    links = materialise(sure.select(F.col("m.f1").alias("a1"), F.col("m.f2").alias("a2"), F.col("f1").alias("b1"), F.col("f2").alias("b2")).distinct(), "verified")
+    after = relabelled(labels, links)
+    named = labelled(group, after)
+    low = named.groupBy(*PIVOT, "label").agg(F.min("r").alias("r"))
+    lowest = low.groupBy(*PIVOT).agg(F.min(F.struct("r", "label")).alias("one"))
+    other = low.join(lowest, PIVOT).groupBy(*PIVOT).agg(F.first("one").alias("one"), F.min(F.when(F.col("label") != F.col("one.label"), F.col("r"))).alias("two"))
+    most = F.when(F.col("label") != F.col("one.label"), F.col("one.r")).otherwise(F.col("two"))
+    room = lambda partner: size - F.greatest(F.lit(1), F.ceil((F.col("r") + partner) / 14)) + 1
+    able = named.join(other, PIVOT).withColumns({"prefix": room(most), "short": F.when(most.isNotNull(), room(F.greatest(most, "r")))}).where("prefix > 0")
+    able = materialise(able.withColumn("first", F.col("label") == F.col("one.label")).drop("one", "two"), "able")
+    held = tokens(able)
+    nth = F.row_number().over(W.partitionBy(*PIVOT, *CLASS).orderBy("k", "token"))
+    often = held.groupBy(*PIVOT, "token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    ranked = held.join(often, [*PIVOT, "token"], "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("nth", nth)
+    probes = ranked.join(able.select(*PIVOT, *CLASS, "prefix", "short", "label", "n", "r"), [*PIVOT, *CLASS]).where("nth <= prefix and k > 1")
+    probes = materialise(probes.select(*PIVOT, "token", *CLASS, "label", "n", "r", (F.col("nth") <= F.col("short")).alias("few")), "probes")
+    met = probes.groupBy(*PIVOT, "token", "label").agg(F.count(F.lit(1)).alias("k"), F.count_if("few").alias("few")).groupBy(*PIVOT, "token")
+    pairs = met.agg((F.sum("k") * F.sum("few") - F.sum(F.col("k") * F.col("few"))).cast("double").alias("pairs")).groupBy(*PIVOT).agg(F.sum("pairs").alias("pairs"))
+    many = able.groupBy(*PIVOT).agg(F.count(F.lit(1)).alias("k")).join(pairs, PIVOT).where(F.col("pairs") > generous * F.col("k")).select(*PIVOT)
+    many = materialise(many, "many")
+    links = links_of(distances(candidates(probes.join(many, PIVOT, "left_anti")), sets))
+    last = relabelled(after, materialise(links, "verified"))
+    left = able.join(many, PIVOT).select(*PIVOT, *CLASS, "first")
+    columns = [*BUCKET, *CLASS, "n", "probe", "indexed"]
+    open_ = full.select(*columns).join(chosen, BUCKET).where("f1 <> p1 or f2 <> p2").join(left, [*PIVOT, *CLASS])
+    open_ = materialise(open_.select(*columns, F.col("first").alias("seen")), "open")
+    release(spark, parts, chosen, group, able, probes, many)
+    return open_, last
+
+
+def candidates(probes: DataFrame) -> DataFrame:
+    """(a1, a2, b1, b2, an, bn): members of different components with a shingle of their prefixes in common."""
+    columns = (("f1", "1"), ("f2", "2"), ("n", "n"), ("label", "l"), ("r", "r"))
+    side = lambda t: probes.where("few or 'b' = '" + t + "'").select(*PIVOT, "token", *(F.col(c).alias(f"{t}{x}") for c, x in columns))
+    ahead = "(ar < br or ar = br and (a1 < b1 or a1 = b1 and a2 < b2))"
+    met = side("a").join(side("b"), [*PIVOT, "token"]).where(f"al <> bl and {ahead} and 4 * least(an, bn) >= 3 * greatest(an, bn)")
+    return met.select("a1", "a2", "b1", "b2", "an", "bn").distinct()
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after the written *links*; both tables go if they are not the result."""
+    spark = labels.sparkSession
+    out = components(labels, links) if links.limit(1).count() else labels
+    release(spark, links, *([labels] if out is not labels else []))
+    return out
+
+
+def settled(buckets: DataFrame, labels: DataFrame, sets: DataFrame, groups: int) -> DataFrame:
+    """The labels after all links between members of one bucket are applied, in rounds."""
+    spark = buckets.sparkSession
+    members, generous = buckets.withColumn("seen", F.lit(False)), PAIRS_PER_MEMBER
+    while True:
+        open_ = materialise(unresolved(members, labels), "unresolved")
+        if generous > PAIRS_PER_MEMBER:
+            release(spark, members)
+        if not open_.limit(1).count():
+            release(spark, open_)
+            return labels
+        members, labels = one_round(open_, labels, sets, groups, generous)
+        release(spark, open_)
+        generous *= 2
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -517,39 +609,14 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rows.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min(F.struct("rid", "rhash")).alias("row"))
     wanted = buckets.select("f1", "f2").distinct().join(classes, ["f1", "f2"]).select("f1", "f2", "row.*")
     sets = materialise(class_sets(docs, wanted, id_col, text_col), "items")
-    signs = materialise(signatures(sets), "signs")
     release(spark)
     labels = materialise(sets.select("f1", "f2", F.col("f1").alias("l1"), F.col("f2").alias("l2")), "labels")
-    done: list[DataFrame] = []
-    similar = F.expr("4 * least(an, bn) >= 3 * greatest(an, bn) and 7 * (ao + bo) <= an + bn")
-    for turn in range(PIVOT_ROUNDS + 1):
-        scrap: list[DataFrame] = []
-        open_ = unresolved(buckets, labels)
-        if turn:
-            open_ = unresolved(feasible(open_, sets, groups, scrap).drop("l1", "l2", "label"), labels)
-        else:
-            open_ = open_.withColumn("own", F.lit(0))
-        pairs = pivots(open_, turn) if turn < PIVOT_ROUNDS else across(open_)
-        pairs = pairs.where(similar).select("a1", "a2", "b1", "b2", "an", "bn")
-        if turn == 0:
-            # a class that meets many pivots is first compared with the least of them
-            pairs = pairs.groupBy("b1", "b2", "bn").agg(F.min(F.struct("a1", "a2", "an")).alias("a")).select("a.*", "b1", "b2", "bn")
-        else:
-            pairs = pairs.distinct()
-        for x in done:
-            turned = x.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"))
-            pairs = pairs.join(x.union(turned), ["a1", "a2", "b1", "b2"], "left_anti")
-        pairs = materialise(sifted(pairs, signs), "pairs")
-        release(spark, *scrap)
-        done.append(pairs)
-        if pairs.limit(1).count() == 0:
-            continue
-        links = materialise(verified(pairs, sets), "verified")
-        release(spark)
-        after = components(labels, links)
-        release(spark, labels, links)
-        labels = after
-    release(spark, buckets, sets, signs, *done)
+    # most buckets are settled by one pivot; a class that is in many meets the least of their pivots
+    first = materialise(links_of(distances(pivots(buckets), sets)), "verified")
+    after = components(labels, first)
+    release(spark, labels, first)
+    labels = settled(buckets, after, sets, groups)
+    release(spark, buckets, sets)
     whole = labels.select("f1", "f2", F.struct("l1", "l2").alias("label")).join(classes.select("f1", "f2", "id"), ["f1", "f2"], "right")
     whole = whole.withColumn("label", F.coalesce("label", F.struct(F.col("f1").alias("l1"), F.col("f2").alias("l2"))))
     least = whole.groupBy("label").agg(F.min("id").alias("component_id"))
@@ -562,33 +629,23 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return full.union(none)
 
 
-def unresolved(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with labels of the buckets that hold more than one component."""
-    named = buckets.join(labels, ["f1", "f2"]).withColumn("label", F.struct("l1", "l2"))
-    mixed = named.groupBy("part", "bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("part", "bucket")
-    return named.join(mixed, ["part", "bucket"])
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels.select(*CLASS, F.struct("l1", "l2").alias("label")), CLASS)
 
 
-def pivots(members: DataFrame, turn: int) -> DataFrame:
-    """One probe of each bucket (the least, in the next turn the greatest) with the members of other components."""
-    best = F.min if turn % 2 == 0 else F.max
-    chosen = members.where("probe").groupBy("part", "bucket").agg(best(F.struct("label", "f1", "f2", "n", "own")).alias("p"))
-    met = members.join(chosen, ["part", "bucket"]).where("label <> p.label")
-    return met.select(F.col("p.f1").alias("a1"), F.col("p.f2").alias("a2"), F.col("p.n").alias("an"), F.col("p.own").alias("ao"), F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col("n").alias("bn"), F.col("own").alias("bo"))
+def unresolved(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with labels of the buckets that hold more than one component."""
+    named = labelled(buckets, labels)
+    mixed = named.groupBy(*BUCKET).agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select(*BUCKET)
+    return named.join(mixed, BUCKET)
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Probes and indexed members of one bucket that are in different components, smaller name first."""
-    side = lambda flag, t: members.where(flag).select(
-        "part", "bucket", *(F.col(c).alias(f"{t}{x}") for c, x in (("f1", "1"), ("f2", "2"), ("n", "n"), ("own", "o"), ("l1", "l"), ("l2", "m"), ("probe", "p"), ("indexed", "i")))
-    )
-    ahead = "(p1 < q1 or p1 = q1 and p2 < q2)"
-    # where both could take either part, the pair comes once
-    met = side("probe", "p").join(side("indexed", "q"), ["part", "bucket"]).where(
-        f"(pl <> ql or pm <> qm) and 7 * (po + qo) <= pn + qn and 4 * pn >= 3 * qn and 4 * qn >= 3 * pn and ({ahead} or not (qp and pi))"
-    )
-    pickc = lambda c: (F.expr(f"if({ahead}, p{c}, q{c}) AS a{c}"), F.expr(f"if({ahead}, q{c}, p{c}) AS b{c}"))
-    return met.select(*pickc("1"), *pickc("2"), *pickc("n"), *pickc("o"))
+def pivots(members: DataFrame) -> DataFrame:
+    """(a1, a2, b1, b2, an, bn): each class with the least probe of its buckets that its size lets it link to."""
+    chosen = members.where("probe").groupBy(*BUCKET).agg(F.min(F.struct("f1", "f2", "n")).alias("p"))
+    met = members.join(chosen, BUCKET).where("(f1 <> p.f1 or f2 <> p.f2) and 4 * least(n, p.n) >= 3 * greatest(n, p.n)")
+    least = met.groupBy(F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col("n").alias("bn")).agg(F.min("p").alias("p"))
+    return least.select(F.col("p.f1").alias("a1"), F.col("p.f2").alias("a2"), "b1", "b2", F.col("p.n").alias("an"), "bn")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", each_component: bool = False) -> DataFrame:
@@ -603,8 +660,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = join_components(docs, id_col, text_col, keys=True)
     grouped = found.where("n_shingles > 0 and doc_id = component_id").groupBy(*(("l1", "l2") if each_component else ("rid",))).agg(F.min(F.struct("rid", "rhash")).alias("row")).select("row.*")
     single = found.where("n_shingles = 0 or component_id is null").select("rid", "rhash").distinct()
-    names = ("__rid", "__rhash")
-    keyed = docs.select("*", *(c.alias(n) for c, n in zip(row_key(id_col, text_col), names, strict=True)))
-    kept = keyed.join(grouped.union(single).toDF(*names), list(names), "left_semi")
-    nth = F.row_number().over(W.partitionBy(*names).orderBy(*names))
-    return kept.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    names = fresh(docs, "rid", "rhash", "nth")
+    keyed = docs.select("*", *(c.alias(n) for c, n in zip(row_key(id_col, text_col), names[:2], strict=True)))
+    kept = keyed.join(grouped.union(single).toDF(*names[:2]), names[:2], "left_semi")
+    nth = F.row_number().over(W.partitionBy(*names[:2]).orderBy(*names[:2]))
+    return kept.withColumn(names[2], nth).where(F.col(names[2]) == 1).select(*docs.columns)
