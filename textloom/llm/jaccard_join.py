@@ -546,7 +546,7 @@ def settled(buckets: DataFrame, labels: DataFrame, sets: DataFrame, groups: int)
             return labels
         members, labels = one_round(open_, labels, sets, groups, generous)
         release(spark, open_)
-        generous *= 2
+        generous *= 8
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
