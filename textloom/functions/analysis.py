@@ -3,8 +3,8 @@
 Two paths give the same tokens. Texts of ASCII and Latin-1 letters (without the
 micro sign) are analysed by built-in functions: lower-casing equals simple
 folding there, such text is in NFC, and the word rules reduce to one regular
-expression. Other texts go through an Arrow UDF. ``with_tokens`` splits the
-rows, so Python only sees the texts that need it.
+expression. Other texts go through an Arrow UDF, which gets nulls for plain
+texts; one scan serves both. The limits hold on every path: a breach is an error.
 
 A null text has null tokens; an empty text has an empty list.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -94,7 +95,10 @@ def plain_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
 
 
+@lru_cache(maxsize=1)
 def _general_udf():
+    """One object, so that an expression that occurs twice in a plan is evaluated once."""
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def general(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
@@ -103,12 +107,6 @@ def _general_udf():
     return general
 
 
-def tokens(text: Column) -> Column:
-    """Tokens of any text as one expression; Python gets nulls for plain texts."""
-    plain = is_plain(text)
-    return F.when(plain, plain_tokens(text)).otherwise(_general_udf()(F.when(~plain, text)))
-
-
 def check_document(text: Column, limits: AnalysisLimits = LIMITS) -> Column:
     """The text, or an error if it has too many bytes."""
     return F.when(F.octet_length(text) > limits.document_bytes, F.raise_error(F.lit("limit: document bytes"))).otherwise(text)
@@ -123,15 +121,19 @@ def check_tokens(found: Column, limits: AnalysisLimits = LIMITS) -> Column:
     )
 
 
-def with_tokens(df: DataFrame, text_col: str = "text", out: str = "tokens", checked: bool = True) -> DataFrame:
-    """*df* with a token list; only texts outside the plain set reach Python."""
-    text = F.col(text_col)
-    plain = F.coalesce(is_plain(text), F.lit(True))
-    limit = check_tokens if checked else (lambda c: c)
+def tokens(text: Column, checked: bool = True) -> Column:
+    """Tokens of any text as one expression, within the limits if *checked*."""
+    plain = is_plain(text)
     source = check_document(text) if checked else text
-    quick = df.where(plain).withColumn(out, limit(plain_tokens(source)))
-    slow = df.where(~plain).withColumn(out, limit(_general_udf()(source)))
-    return quick.unionByName(slow)
+    found = F.when(plain, plain_tokens(source)).otherwise(_general_udf()(F.when(~plain, source)))
+    return check_tokens(found) if checked else found
+
+
+def with_tokens(df: DataFrame, text_col: str = "text", out: str = "tokens", checked: bool = True) -> DataFrame:
+    """*df* with a token list in the new column *out*."""
+    if out.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {out} already")
+    return df.withColumn(out, tokens(F.col(text_col), checked))
 
 
 def padded(found: Column) -> Column:
@@ -139,10 +141,6 @@ def padded(found: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" "))
 
 
-def document_length(found: Column) -> Column:
-    return F.size(found)
-
-
 def term_vectors(df: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
     """(id, term, tf, positions): positions from 0, sorted."""
     flat = df.select(id_col, F.posexplode(tokens_col).alias("pos", "term"))

@@ -1,4 +1,4 @@
-"""SQL functions: search_match, tokenize, parse_query, query_valid, tokenize_table."""
+"""SQL functions: search_match, tokenize, parse_query, query_valid, version, tokenize_table."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom import VERSION
 from textloom.functions.analysis import analyze_text
 from textloom.plans.predicate import text_matches
 from textloom.plans.query import parse_query, query_valid
@@ -40,6 +41,8 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("parse_query", F.pandas_udf(lambda s: s.map(lambda q: None if q is None else parse_query(q).encode()), T.BinaryType()))
     spark.udf.register("query_valid", F.pandas_udf(lambda s: s.map(query_valid).astype(object), T.BooleanType()))
 
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION textloom_version() RETURNS STRING RETURN '{VERSION}'")
+
     @F.udtf(returnType="pos: int, term: string")
     class TokenizeTable:
         def eval(self, text: str):

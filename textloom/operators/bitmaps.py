@@ -7,13 +7,9 @@ from pyspark.sql import functions as F
 
 
 def term_bitmaps(postings: DataFrame) -> DataFrame:
-    """(term, bucket, bits): non-negative doc ids only."""
-    at = postings.where("doc_id >= 0")
-    return at.groupBy("term", F.expr("bitmap_bucket_number(doc_id + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(doc_id + 1))").alias("bits"))
-
-
-def universe_bitmaps(docs: DataFrame) -> DataFrame:
-    return term_bitmaps(docs.select(F.lit("").alias("term"), "doc_id")).drop("term")
+    """(term, bucket, bits); any 64-bit id has a bucket and a bit of its own."""
+    bits = F.expr("bitmap_construct_agg(bitmap_bit_position(doc_id))").alias("bits")
+    return postings.groupBy("term", F.expr("bitmap_bucket_number(doc_id)").alias("bucket")).agg(bits)
 
 
 def count_all_of(bitmaps: DataFrame, terms: list[str]) -> DataFrame:

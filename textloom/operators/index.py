@@ -4,7 +4,12 @@ A segment has postings (sorted by term, so that scans prune row groups), docs
 and a dictionary. A manifest names the live segments and tombstone files; it is
 written whole and renamed, so a reader sees a change entirely or not at all, and
 segments that no manifest names do not exist. A tombstone (doc_id, upto) hides a
-document in segments numbered up to *upto*; compaction rewrites live rows.
+document in segments numbered up to *upto*. Documents that are appended again
+replace their older versions in the same commit. Merging rewrites the live rows
+of some segments, compaction those of all.
+
+A query reads one manifest (a Snapshot) for all it does, so a commit in between
+does not mix generations.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from textloom import PROFILE
 from textloom.operators import postings as P
 from textloom.operators.ranking import rank
 from textloom.plans.predicate import as_query, matches
-from textloom.plans.query import Query, Term, cover_of, is_exact, simplify
+from textloom.plans.query import Phrase, Prefix, Query, Term, cover_of, is_exact, simplify
 from textloom.sources.tables import Folder, union_all
 
 POSTINGS = "term string, doc_id long, tf int, positions array<int>, seg long"
@@ -92,65 +97,157 @@ class Index:
         return name
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> int:
-        """Add documents as a segment; its number. A named *batch* that is already in does nothing."""
-        generation = self.generation()
-        manifest = self.manifest()
+        """Add documents as a segment; its number. A named *batch* that is already in does nothing.
+
+        Older versions of the same ids are hidden by the same commit (a null
+        text only hides). An id that comes twice in *docs* is an error.
+        """
+        view = self.snapshot()
+        manifest = view.manifest
         if batch is not None and batch in manifest["batches"]:
             return manifest["batches"][batch]
         rows, lengths = P.build_postings(docs, id_col, text_col)
         seq = manifest["next"]
         name = self._write_segment(rows, lengths)
+        written = self.spark.read.parquet(f"{self.path}/{name}/docs")
+        size = written.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+        if size.rows != size.ids:
+            self.folder.delete(name)
+            raise ValueError(f"{size.rows - size.ids} documents repeat an id")
+        dead = []
+        if manifest["segments"]:
+            ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
+            again = ids.join(view.docs().select("doc_id"), "doc_id", "left_semi")
+            dead = self._write_tombstones(again, seq - 1)
         batches = manifest["batches"] | ({batch: seq} if batch is not None else {})
-        self._commit(manifest | {"segments": [*manifest["segments"], {"name": name, "seq": seq}], "next": seq + 1, "batches": batches}, generation + 1)
+        entry = {"name": name, "seq": seq, "documents": size.rows}
+        change = {"segments": [*manifest["segments"], entry], "tombstones": [*manifest["tombstones"], *dead], "next": seq + 1, "batches": batches}
+        self._commit(manifest | change, view.generation + 1)
         return seq
 
+    def _write_tombstones(self, ids: DataFrame, upto: int) -> list[str]:
+        """Names of the tombstone files: one, or none if there are no ids."""
+        name = f"dead-{uuid.uuid4().hex}"
+        ids.withColumn("upto", F.lit(upto).cast("long")).write.parquet(f"{self.path}/{name}")
+        if self.spark.read.parquet(f"{self.path}/{name}").limit(1).count():
+            return [name]
+        self.folder.delete(name)
+        return []
+
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> None:
         """Hide documents; ids that are not there do no harm."""
-        generation, manifest = self.generation(), self.manifest()
-        name = f"dead-{uuid.uuid4().hex}"
-        ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct().withColumn("upto", F.lit(manifest["next"] - 1).cast("long")).write.parquet(f"{self.path}/{name}")
-        self._commit(manifest | {"tombstones": [*manifest["tombstones"], name]}, generation + 1)
+        view = self.snapshot()
+        dead = self._write_tombstones(ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), view.manifest["next"] - 1)
+        self._commit(view.manifest | {"tombstones": [*view.manifest["tombstones"], *dead]}, view.generation + 1)
 
     def update(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
-        """Replace documents: the old versions are hidden, the new ones appended."""
-        self.delete(docs, id_col)
+        """Replace documents: one commit hides the old versions and adds the new ones."""
         return self.append(docs, id_col, text_col)
 
     def compact(self, small: int | None = None) -> Maintenance:
         """Rewrite the live rows as one segment and drop the tombstones.
 
-        With *small*: merge only if there are at least so many segments.
+        With *small*: only if there are at least so many segments.
         """
-        generation, manifest = self.generation(), self.manifest()
-        before = len(manifest["segments"])
+        view = self.snapshot()
+        before = len(view.manifest["segments"])
         if before == 0 or (small is not None and before < small):
             return Maintenance(before, before)
-        docs, rows = self.docs(), self.postings()
-        if (twice := docs.groupBy("doc_id").count().where("count > 1").limit(1).count()) > 0:
-            raise ValueError(f"documents are live in several segments ({twice}+); update() them instead")
-        total = self._raw("docs", DOCS).count()
-        name = self._write_segment(rows.drop("seg"), docs.drop("seg"))
+        return self._rewrite(view, view.manifest["segments"], [])
+
+    def merge(self, at_least: int = MERGE_SEGMENTS, most: int = MERGE_SEGMENTS) -> Maintenance:
+        """If there are *at_least* segments, merge the smallest, up to *most*, into one.
+
+        Segments grow by tiers, so each document is rewritten a logarithmic
+        number of times. Tombstones stay for the other segments.
+        """
+        view = self.snapshot()
+        segments = view.manifest["segments"]
+        if len(segments) < max(2, at_least):
+            return Maintenance(len(segments), len(segments))
+        chosen = sorted(segments, key=lambda s: (s["documents"], s["seq"]))[:most]
+        return self._rewrite(view, chosen, view.manifest["tombstones"] if len(chosen) < len(segments) else [])
+
+    def _rewrite(self, view: Snapshot, chosen: list[dict], tombstones: list[str]) -> Maintenance:
+        """Commit one segment in place of the *chosen*; it has the number of the newest of them."""
+        part = Snapshot(self, view.manifest | {"segments": chosen})
+        name = self._write_segment(part.postings().drop("seg"), part.docs().drop("seg"))
         live = self.spark.read.parquet(f"{self.path}/{name}/docs").count()
-        self._commit(manifest | {"segments": [{"name": name, "seq": manifest["next"] - 1}], "tombstones": []}, generation + 1)
-        return Maintenance(before, 1, live, total - live)
+        names = {s["name"] for s in chosen}
+        rest = [s for s in view.manifest["segments"] if s["name"] not in names]
+        entry = {"name": name, "seq": max(s["seq"] for s in chosen), "documents": live}
+        self._commit(view.manifest | {"segments": sorted([*rest, entry], key=lambda s: s["seq"]), "tombstones": tombstones}, view.generation + 1)
+        return Maintenance(len(view.manifest["segments"]), len(rest) + 1, live, sum(s["documents"] for s in chosen) - live)
+
+    def vacuum(self, grace_seconds: float = 0.0) -> list[str]:
+        """Delete files that the current manifest does not name.
 
-    def vacuum(self) -> list[str]:
-        """Delete files that the current manifest does not name."""
-        manifest, current = self.manifest(), self.generation()
-        named = {s["name"] for s in manifest["segments"]} | set(manifest["tombstones"]) | {f"manifest-{current:010d}.json"}
+        With other writers about, *grace_seconds* spares what was changed since:
+        segments of a commit under way.
+        """
+        view = self.snapshot()
+        named = {s["name"] for s in view.manifest["segments"]} | set(view.manifest["tombstones"]) | {f"manifest-{view.generation:010d}.json"}
         gone = [n for n in self.folder.names() if n not in named and not n.startswith("_")]
+        gone = [n for n in gone if not grace_seconds or self.folder.age_seconds(n) > grace_seconds]
         for n in gone:
             self.folder.delete(n)
         return gone
 
-    # reading
+    # reading: each call sees one generation
+
+    def snapshot(self) -> Snapshot:
+        """The index as it is now; commits after this do not change what it reads."""
+        return Snapshot(self, self.manifest())
+
+    def docs(self) -> DataFrame:
+        return self.snapshot().docs()
+
+    def postings(self) -> DataFrame:
+        return self.snapshot().postings()
+
+    def tombstones(self) -> DataFrame | None:
+        return self.snapshot().tombstones()
+
+    def dictionary(self) -> DataFrame:
+        return self.snapshot().dictionary()
+
+    def statistics(self) -> DataFrame:
+        return self.snapshot().statistics()
+
+    def search(self, query: str | Query, source: DataFrame | None = None) -> DataFrame:
+        return self.snapshot().search(query, source)
+
+    def count(self, query: str | Query, source: DataFrame | None = None) -> int:
+        return self.snapshot().count(query, source)
+
+    def rank(self, query: str | Query, **options) -> DataFrame:
+        return self.snapshot().rank(query, **options)
+
+    def explain(self, query: str | Query) -> dict[str, object]:
+        return self.snapshot().explain(query)
+
+
+@dataclass
+class Snapshot:
+    """One generation of an index."""
+
+    index: Index
+    manifest: dict
+
+    def __post_init__(self) -> None:
+        self.spark, self.path, self.options = self.index.spark, self.index.path, self.index.options
+
+    @property
+    def generation(self) -> int:
+        return self.manifest["generation"]
 
     def _raw(self, kind: str, schema: str) -> DataFrame:
-        parts = [self.spark.read.parquet(f"{self.path}/{s['name']}/{kind}").withColumn("seg", F.lit(s["seq"]).cast("long")) for s in self.manifest()["segments"]]
+        parts = [self.spark.read.parquet(f"{self.path}/{s['name']}/{kind}").withColumn("seg", F.lit(s["seq"]).cast("long")) for s in self.manifest["segments"]]
         return union_all(parts) if parts else self.spark.createDataFrame([], schema)
 
     def tombstones(self) -> DataFrame | None:
-        names = self.manifest()["tombstones"]
+        """(doc_id, upto), or None where nothing is hidden."""
+        names = self.manifest["tombstones"]
         if not names:
             return None
         rows = union_all([self.spark.read.parquet(f"{self.path}/{n}") for n in names])
@@ -187,6 +284,8 @@ class Index:
         """doc_id of the matches. *source* (doc_id, text) is needed without an index or with covers."""
         root = simplify(as_query(query).root)
         if not self.options.use_index:
+            if source is None:
+                raise ValueError("a search without the index needs the source table")
             return source.where(matches("text", query)).select("doc_id")
         if self.options.use_cover and source is not None:
             cover = cover_of(root)
@@ -196,32 +295,45 @@ class Index:
             return source.join(some, "doc_id", "left_semi").where(matches("text", query)).select("doc_id")
         return P.search(self._read(root), self.docs(), root)
 
+    def _counted_by_dictionary(self, root) -> bool:
+        return self.options.count_fastpath and self.options.use_index and isinstance(root, Term) and not self.manifest["tombstones"]
+
     def count(self, query: str | Query, source: DataFrame | None = None) -> int:
         """Number of matches; for one term from the dictionary if nothing is hidden."""
         root = simplify(as_query(query).root)
-        if self.options.count_fastpath and self.options.use_index and isinstance(root, Term) and self.tombstones() is None:
-            row = self._raw("dictionary", DICTIONARY).where(F.col("term") == root.term).agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first()
-            return row.n
+        if self._counted_by_dictionary(root):
+            return self._raw("dictionary", DICTIONARY).where(F.col("term") == root.term).agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first().n
         return self.search(query, source).count()
 
     def rank(self, query: str | Query, **options) -> DataFrame:
-        return rank(self.postings(), self.docs(), query, **options)
+        """BM25 (see operators.ranking.rank); frequencies and prefixes come from the dictionary."""
+        return rank(self.postings(), self.docs(), query, words=self.dictionary(), **options)
 
     def explain(self, query: str | Query) -> dict[str, object]:
-        """How a query would run, and what it would read."""
+        """How a query would run, what it would read, and why not the faster ways."""
         root = simplify(as_query(query).root)
-        manifest = self.manifest()
         cover = cover_of(root)
-        fast = isinstance(root, Term) and not manifest["tombstones"] and self.options.count_fastpath
+        fast = self._counted_by_dictionary(root)
+        why = None
+        if not fast:
+            why = "not one term" if not isinstance(root, Term) else "documents are hidden" if self.manifest["tombstones"] else "switched off"
         return {
-            "segments": len(manifest["segments"]),
-            "tombstone_files": len(manifest["tombstones"]),
-            "generation": manifest["generation"],
+            "segments": len(self.manifest["segments"]),
+            "documents_written": sum(s["documents"] for s in self.manifest["segments"]),
+            "tombstone_files": len(self.manifest["tombstones"]),
+            "generation": self.manifest["generation"],
+            "profile": self.manifest["profile"],
             "leaves": len(P.leaves(root)),
+            "terms": sum(isinstance(x, Term) for x in P.leaves(root)),
+            "prefixes": sum(isinstance(x, Prefix) for x in P.leaves(root)),
+            "phrases": sum(isinstance(x, Phrase) for x in P.leaves(root)),
             "cover": cover.kind,
             "cover_terms": list(cover.terms),
             "exact": is_exact(root),
             "recheck": not is_exact(root),
             "reads_universe": P.holds_without(root),
+            "reads_index": self.options.use_index,
+            "reads_source": not self.options.use_index or self.options.use_cover,
             "count_from_dictionary": fast,
+            "count_fallback": why,
         }

@@ -106,12 +106,21 @@ def search(postings: DataFrame, docs: DataFrame, root: Node) -> DataFrame:
     """
     if isinstance(root, Nothing) or not leaves(root):
         return docs.select("doc_id").where(F.lit(holds_without(root)))
+    return matched(postings.where(leaf_rows(root)), docs.select("doc_id"), root).select("doc_id")
+
+
+def matched(rows: DataFrame, docs: DataFrame, root: Node, more: list[Column] | None = None) -> DataFrame:
+    """The documents that match, by the postings *rows* of the query's leaves.
+
+    With *more* aggregates over these rows, each with the columns of *docs*.
+    """
     names = {leaf: f"leaf{i}" for i, leaf in enumerate(leaves(root))}
-    rows = postings.where(leaf_rows(root))
-    flags = rows.groupBy("doc_id").agg(*[_held(leaf).alias(n) for leaf, n in names.items()])
+    flags = rows.groupBy("doc_id").agg(*[_held(leaf).alias(n) for leaf, n in names.items()], *(more or []))
     if holds_without(root):
-        flags = docs.select("doc_id").join(flags, "doc_id", "left").na.fill(False, list(names.values()))
-    return flags.where(over_flags(root, lambda leaf: F.col(names[leaf]))).select("doc_id")
+        flags = docs.join(flags, "doc_id", "left").na.fill(False, list(names.values()))
+    elif more:
+        flags = flags.join(docs, "doc_id")
+    return flags.where(over_flags(root, lambda leaf: F.col(names[leaf]))).drop(*names.values())
 
 
 def candidates(postings: DataFrame, docs: DataFrame, kind: str, terms: tuple[str, ...]) -> DataFrame:

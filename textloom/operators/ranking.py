@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.postings import PREFIX_TERMS, corpus_stats, dictionary, expand_prefix, search
+from textloom.operators.postings import PREFIX_TERMS, corpus_stats, dictionary, expand_prefix, leaf_rows, matched, search
 from textloom.plans.predicate import as_query
 from textloom.plans.query import Query, scoring_leaves, simplify
 
@@ -54,37 +54,54 @@ def term_score(tf: Column, dl: Column, weight: Column, average: float, p: Bm25)
     return F.when(tf > dl, F.raise_error(F.lit("statistics: tf exceeds length"))).when(tf == 0, 0.0).otherwise(score)
 
 
-def gather_statistics(postings: DataFrame, docs: DataFrame, terms: list[str]) -> Statistics:
-    """Statistics of the whole corpus for the given terms: two small aggregates."""
+def gather_statistics(words: DataFrame, docs: DataFrame, terms: list[str]) -> Statistics:
+    """Statistics of the whole corpus for the given terms, from a dictionary (term, df, ...): two small aggregates."""
     stats = corpus_stats(docs).first()
-    found = dictionary(postings.where(F.col("term").isin(terms))).select("term", "df").collect() if terms else []
+    found = words.where(F.col("term").isin(terms)).select("term", "df").collect() if terms else []
     return Statistics(stats.documents, stats.total_length, {r.term: r.df for r in found})
 
 
-def rank(postings: DataFrame, docs: DataFrame, query: str | Query, limit: int = 10, offset: int = 0, eligible: DataFrame | None = None, parameters: Bm25 | None = None, statistics: Statistics | None = None, boosts: Mapping[str, float] | None = None) -> DataFrame:
+def rank(
+    postings: DataFrame,
+    docs: DataFrame,
+    query: str | Query,
+    limit: int = 10,
+    offset: int = 0,
+    eligible: DataFrame | None = None,
+    parameters: Bm25 | None = None,
+    statistics: Statistics | None = None,
+    boosts: Mapping[str, float] | None = None,
+    words: DataFrame | None = None,
+) -> DataFrame:
     """(doc_id, score) of the best matches: score descending, then doc_id.
 
-    *eligible* (doc_id) filters before the cut; statistics stay those of the
-    whole corpus. Matches without a scoring term have score 0.
+    One scan of the postings of the query's leaves and one shuffle by document
+    give both the matches and their scores. *eligible* (doc_id) filters before
+    the cut; statistics stay those of the whole corpus. Matches without a
+    scoring term have score 0. *words* is the dictionary (term, df) where one is
+    stored; it gives frequencies and the terms of prefixes without the postings.
     """
     p = parameters or Bm25()
     root = simplify(as_query(query).root)
+    words = dictionary(postings) if words is None else words
     terms, stems = scoring_leaves(root)
-    words = postings.select("term").distinct() if stems else None
     for stem in sorted(stems):
         terms |= set(expand_prefix(words, stem, PREFIX_TERMS))
     wanted = sorted(terms)
-    stats = statistics or gather_statistics(postings, docs, wanted)
-    found = search(postings, docs, root)
+    stats = statistics or gather_statistics(words, docs, wanted)
+    # at most the query's terms and PREFIX_TERMS for each prefix
+    weights = [(t, idf(stats.documents, stats.frequencies.get(t, 0), (boosts or {}).get(t, 1.0))) for t in wanted]
+    if not weights:
+        found = search(postings, docs, root).withColumn("score", F.lit(0.0))
+    else:
+        weight = F.broadcast(postings.sparkSession.createDataFrame(weights, "term string, weight double"))
+        part = F.when(F.col("weight").isNotNull(), F.struct("term", "tf", "weight"))
+        rows = postings.where(leaf_rows(root)).join(weight, "term", "left")
+        held = matched(rows, docs.select("doc_id", "dl"), root, [F.array_sort(F.collect_list(part)).alias("parts")])
+        # summed in the order of the terms, so that the result does not depend on partitions
+        add = lambda a, x: a + term_score(x.tf, F.col("dl"), x.weight, stats.average_length, p)
+        score = F.coalesce(F.aggregate("parts", F.lit(0.0), add), F.lit(0.0))
+        found = held.select("doc_id", score.alias("score"))
     if eligible is not None:
         found = found.join(eligible.select("doc_id").distinct(), "doc_id", "left_semi")
-    spark = postings.sparkSession
-    # at most the query's terms and PREFIX_TERMS for each prefix
-    weights = spark.createDataFrame([(t, idf(stats.documents, stats.frequencies.get(t, 0), (boosts or {}).get(t, 1.0))) for t in wanted], "term string, weight double")
-    hits = postings.where(F.col("term").isin(wanted)) if len(wanted) <= 256 else postings
-    parts = hits.join(F.broadcast(weights), "term").join(found, "doc_id", "left_semi").join(docs.select("doc_id", "dl"), "doc_id")
-    scored = parts.select("doc_id", F.struct("term", term_score(F.col("tf"), F.col("dl"), F.col("weight"), stats.average_length, p).alias("s")).alias("part"))
-    # summed in the order of the terms, so that the result does not depend on partitions
-    sums = scored.groupBy("doc_id").agg(F.aggregate(F.array_sort(F.collect_list("part")), F.lit(0.0), lambda a, x: a + x.s).alias("score"))
-    full = found.join(sums, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    return full.orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit)
+    return found.orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit)

@@ -11,7 +11,7 @@ from textloom.functions.analysis import WORD, padded, term_vectors, with_tokens
 from textloom.operators import bitmaps as B
 from textloom.operators import postings as P
 from textloom.operators.index import Index, Options
-from textloom.operators.ranking import rank
+from textloom.operators.ranking import Statistics
 from textloom.plans.predicate import as_query, matches, over_norm
 from textloom.plans.query import cover_of, simplify
 from textloom.sources.tables import scratch_path, table
@@ -19,7 +19,7 @@ from textloom.sources.tables import scratch_path, table
 #: Predicates by name: the query, and its SQL over n (the padded tokens).
 PREDICATES = {
     "match_term": ("the", "contains(n, ' the ')"),
-    "match_prefix": ("eauxm*", "contains(n, ' eauxm')"),
+    "match_prefix": ("eau*", "contains(n, ' eau')"),
     "match_phrase": ('"of the"', "contains(n, ' of the ')"),
     "match_phrase_repeat": ('"the the"', "contains(n, ' the the ')"),
     "match_and": ("the AND in", "contains(n, ' the ') AND contains(n, ' in ')"),
@@ -40,6 +40,7 @@ RANKS = {
     "bm25_filtered": dict(query="the OR und", limit=12),
     "bm25_zero_score_not": dict(query="NOT the", limit=10),
     "bm25_double_not": dict(query="NOT NOT und", limit=10),
+    "bm25_supplied_statistics": dict(query="the", limit=10, statistics=Statistics(500_000, 200_000_000, {"the": 1_000})),
 }
 
 
@@ -60,19 +61,28 @@ def match_query(source: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def postings_query(source: str) -> Callable[[SparkSession, str], DataFrame]:
+_INDEXES: dict[tuple[str, str], Index] = {}
+
+
+def shared_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of a folder's documents, built once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key], _ = new_index(spark, sf_dir)
+    return _INDEXES[key]
+
+
+def index_query(source: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows, docs = built(spark, sf_dir)
-        return P.search(rows, docs, simplify(as_query(source).root))
+        return shared_index(spark, sf_dir).search(source)
 
     return run
 
 
-def rank_query(name: str, query: str, limit: int = 10, offset: int = 0) -> Callable[[SparkSession, str], DataFrame]:
+def rank_query(name: str, query: str, **options) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows, docs = built(spark, sf_dir)
         eligible = documents(spark, sf_dir).where("lang = 'en'") if name == "bm25_filtered" else None
-        out = rank(rows, docs, query, limit, offset, eligible)
+        out = shared_index(spark, sf_dir).rank(query, eligible=eligible, **options)
         return out.select("doc_id", F.round("score", 9).alias("score"))
 
     return run
@@ -219,6 +229,61 @@ def append_then_rank(spark, sf_dir):
     return index.rank("the AND in", limit=20).select("doc_id", F.round("score", 9).alias("score"))
 
 
+def reappend_then_search(spark, sf_dir):
+    """Documents that are appended again replace their older versions."""
+    index, docs = new_index(spark, sf_dir)
+    index.append(docs.where("doc_id % 3 = 0").select("doc_id", F.lit("zulu once").alias("text")))
+    index.append(docs.where("doc_id % 6 = 0").select("doc_id", F.lit("zulu twice").alias("text")))
+    return index.search('"zulu twice" OR (the AND NOT zulu) OR NOT in')
+
+
+def update_in_one_commit(spark, sf_dir):
+    index, docs = new_index(spark, sf_dir)
+    before = index.generation()
+    index.update(docs.where("doc_id % 5 = 0").select("doc_id", F.lit("zulu").alias("text")))
+    return index.search("zulu").withColumn("commits", F.lit(index.generation() - before))
+
+
+def merge_then_search(spark, sf_dir):
+    """Six segments of different sizes, one with deletions; the four smallest are merged."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    index = Index.create(spark, scratch_path(spark, "index"))
+    for i in range(5):
+        index.append(docs.where(f"doc_id % 16 = {i}"))
+    index.append(docs.where("doc_id % 16 > 4"))
+    index.delete(docs.where("doc_id % 16 = 2 AND doc_id % 3 = 0"))
+    index.merge(at_least=4, most=4)
+    return index.search("the OR NOT in").withColumn("segments", F.lit(len(index.manifest()["segments"])))
+
+
+def snapshot_during_commit(spark, sf_dir):
+    """A snapshot keeps answering as of its generation while commits go on."""
+    index, docs = new_index(spark, sf_dir)
+    view = index.snapshot()
+    index.delete(docs.where("doc_id % 2 = 0"))
+    old, new = view.search("the").select(F.lit("old").alias("view"), "doc_id"), index.search("the").select(F.lit("new").alias("view"), "doc_id")
+    return old.union(new)
+
+
+def stream_then_search(spark, sf_dir):
+    """The documents through the streaming sink, then a search."""
+    from textloom.streaming.sink import append_stream
+
+    folder = scratch_path(spark, "stream")
+    index = Index.create(spark, f"{folder}/index")
+    # a pattern, as a stream from a plain path must be of a folder
+    stream = spark.readStream.schema(documents(spark, sf_dir).schema).parquet(f"{sf_dir}/documents.parque[t]")
+    append_stream(stream.select("doc_id", "text"), index, f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return index.search("the AND NOT of")
+
+
+def null_on_null(spark, sf_dir):
+    """How often a predicate is true, false and null where every seventh text is null and every eighth empty."""
+    text = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 8 == 0, "").otherwise(F.col("text"))
+    hit = documents(spark, sf_dir).select(matches(text, "NOT the").alias("hit"))
+    return hit.groupBy("hit").agg(F.count(F.lit(1)).alias("n"))
+
+
 def corpus_search(name: str, id_cols: list[str], source: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return table(spark, sf_dir, name).where(matches("text", source)).select(*id_cols)
@@ -246,10 +311,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         tokenize_docs, doc_length, doc_freq, multi_key_and, residual_filter, counts, count_by_source, postings_and, postings_or,
         postings_andnot, postings_not, phrase_positional_join, prefix_dictionary, cover_candidates, bitmap_counts, index_vs_scan,
+        reappend_then_search, update_in_one_commit, merge_then_search, snapshot_during_commit, stream_then_search, null_on_null,
         count_term, delete_then_search, update_then_search, compact_then_search, append_then_rank, search_join_labels, top_per_lang,
     )
     out = {name: match_query(q) for name, (q, _) in PREDICATES.items()}
-    out |= {f"index_{name}": postings_query(q) for name, (q, _) in PREDICATES.items()}
+    out |= {f"index_{name}": index_query(q) for name, (q, _) in PREDICATES.items()}
     out |= {name: rank_query(name, **options) for name, options in RANKS.items()}
     out |= {f.__name__: f for f in plain}
     out |= {"term_vectors": term_vectors_query, "corpus_stats": stats}
@@ -290,6 +356,13 @@ def oracle_sql() -> dict[str, str]:
         "bm25_filtered": _rank_sql(f"{has('the')} OR {has('und')}", "term IN ('the', 'und')", 12, 0, "lang = 'en'"),
         "bm25_zero_score_not": _rank_sql(f"NOT {has('the')}", "false", 10),
         "bm25_double_not": _rank_sql(has("und"), "term = 'und'", 10),
+        "bm25_supplied_statistics": f"WITH {t} SELECT doc_id, round(ln(1 + 499000.5 / 1000.5) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / 400.0)), 9) AS score FROM (SELECT *, len(list_filter(w, lambda x: x = 'the')) AS tf FROM d) WHERE tf > 0 ORDER BY score DESC, doc_id LIMIT 10",
+        "reappend_then_search": f"WITH {t} SELECT doc_id FROM d WHERE CASE WHEN doc_id % 3 = 0 THEN true ELSE {has('the')} OR NOT {has('in')} END",
+        "update_in_one_commit": "SELECT doc_id, CAST(1 AS INT) AS commits FROM documents WHERE doc_id % 5 = 0",
+        "merge_then_search": f"WITH {t} SELECT doc_id, CAST(3 AS INT) AS segments FROM d WHERE NOT (doc_id % 16 = 2 AND doc_id % 3 = 0) AND ({has('the')} OR NOT {has('in')})",
+        "snapshot_during_commit": f"WITH {t} SELECT 'old' AS view, doc_id FROM d WHERE {has('the')} UNION ALL SELECT 'new', doc_id FROM d WHERE doc_id % 2 <> 0 AND {has('the')}",
+        "stream_then_search": f"WITH {t} SELECT doc_id FROM d WHERE {has('the')} AND NOT {has('of')}",
+        "null_on_null": f"WITH {t} SELECT CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 8 = 0 THEN true ELSE NOT {has('the')} END AS hit, count(*) AS n FROM d GROUP BY hit",
         "append_then_rank": _rank_sql(f"{has('the')} AND {has('in')}", "term IN ('the', 'in')", 20),
         "tokenize_docs": f"{flat} SELECT doc_id, CAST(pos AS INT) AS pos, term FROM f",
         "doc_length": f"WITH {t} SELECT doc_id, CAST(len(w) AS INT) AS dl, n AS norm FROM d",
