@@ -170,6 +170,14 @@ def test_topk(spark):
     assert done < 2 * 16  # blocks below the k-th score are not scored
 
 
+def test_topk_wide(spark):
+    """Large finite components: exact where 64 bits hold the score, the nearest 64-bit integer beyond."""
+    rows = [(20, [1e7, 1.0]), (1, [1e7, 0.0]), (2, [-1e7, 0.0]), (3, [1e15, 0.0]), (40, [1e15, 0.0])]
+    out = {(r.query_id, r.vec_id): r.score for r in topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out[20, 1] == 640_000_000**2 and out[20, 2] == -(640_000_000**2)
+    assert out[40, 3] == 2**63 - 1 and out[40, 2] == -(2**63) and len(out) == 8
+
+
 # op5
 
 
@@ -225,6 +233,28 @@ def test_quality(spark):
     assert quality.classify(df.where("false"), lab).count() == 0
 
 
+def test_discriminant_by_brute_force(spark):
+    """Scores against the two Gaussian densities written out, without factors."""
+    rnd = random.Random(21)
+    rows = [(i, " ".join(rnd.choice(["ab", "cde", "X!", "9 9"]) for _ in range(rnd.randint(0, 60)))) for i in range(300)]
+    truth = {i: int(t.count("X!") < 8) for i, t in rows}
+    lab = spark.createDataFrame([(i, y, 0) for i, y in truth.items()], "doc_id long, quality int, toxic int")
+    x = {i: np.array(quality.statistics(t.encode())) for i, t in rows}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    parts = [np.array([x[i] for i in train if truth[i] == y]) for y in (0, 1)]
+    cov = [np.cov(p.T, bias=True) for p in parts]
+    pooled = (len(parts[0]) * cov[0] + len(parts[1]) * cov[1]) / len(train)
+    logs = []
+    for p, c in zip(parts, cov, strict=True):
+        c = (1 - quality.SHRINK_POOLED) * c + quality.SHRINK_POOLED * pooled
+        c = (1 - quality.SHRINK_DIAGONAL) * c + quality.SHRINK_DIAGONAL * np.diag(np.diag(c)) + quality.FLOOR * np.eye(len(c))
+        inverse, det, mean = np.linalg.inv(c), np.linalg.slogdet(c)[1], p.mean(axis=0)
+        logs.append(lambda v, i=inverse, d=det, m=mean, n=len(p): math.log(n) - 0.5 * (d + (v - m) @ i @ (v - m)))
+    for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string"), lab).collect():
+        gap = min(max(logs[0](x[r.doc_id]) - logs[1](x[r.doc_id]), -700), 700)
+        assert abs(r.score - 1 / (1 + math.exp(gap))) < 1e-5
+
+
 # op7
 
 
@@ -445,6 +475,12 @@ def test_trigram_queries():
                 assert any(c <= held for c in q[r.kind])
 
 
+def test_empty_tables(spark):
+    none = frame(spark, [(1, "x")]).where("false")
+    for run in (suffix_repeats.remove_repeats, debruijn_dedup.remove_repeats, exact_dedup.exact_dedup, exact_dedup.drop_copies, secret_scan.scan_digest):
+        assert run(none).count() == 0
+
+
 # kernels
 
 

@@ -81,7 +81,8 @@ def test_rows(spark, vocab):
     rows = [*enumerate(texts), (None, "hello"), (3, "hello world")]
     df = frame(spark, rows)
     out = lattice.encode_samples(df, MODEL_FILE, 2).collect()
-    assert all(r.round_trip for r in out)
+    marked = {i for i, t in rows if lattice.MARK in (t or "")}
+    assert marked and all(r.round_trip == (r.doc_id not in marked) for r in out)
     count = Counter(r.doc_id for r in out)
     assert count[0] == count[1] == 1 and count[3] == 4 and count[None] == 2
     by = {}
@@ -96,6 +97,33 @@ def test_rows(spark, vocab):
     assert lattice.encode_samples(df.where("false"), MODEL_FILE).count() == 0
 
 
+def test_decode(spark):
+    texts = ["", "a", "hello  world \n x", "𐎀é", " lead", "tail ", None]
+    df = frame(spark, list(enumerate(texts)))
+    encoded = lattice.encode_samples(df, MODEL_FILE, 2).select("doc_id", "sample", "ids")
+    back = lattice.decode_ids(encoded, MODEL_FILE)
+    assert back.columns == ["doc_id", "sample", "ids", "text"]
+    assert all(r.text == (texts[r.doc_id] or "") for r in back.collect())
+    odd = spark.createDataFrame([(1, None), (2, [5, None]), (3, [10**6]), (4, [-1]), (5, [])], "k int, ids array<int>")
+    assert {r.k: r.text for r in lattice.decode_ids(odd, MODEL_FILE).collect()} == {1: None, 2: None, 3: None, 4: None, 5: ""}
+    assert lattice.decode_ids(odd.where("false"), MODEL_FILE).count() == 0
+    with pytest.raises(ValueError):
+        lattice.decode_ids(back, MODEL_FILE)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    """The pipeline over empty tables and over rows of nulls."""
+    import corpus_pipeline
+
+    docs = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("none", []), ("nulls", [(None,) * 5, (None,) * 5, (1, None, None, None, None)])):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, docs).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(folder)).collect()
+        assert len(out) == (0 if not rows else 1) and all(r.n_pieces == 0 for r in out)
+
+
 def test_pipeline(spark, tmp_path):
     import random
 

@@ -8,6 +8,9 @@ scored through the forward index from the best bound on, and a query stops once
 the next bound is below its k-th score (an equal bound goes on, as ties go to
 the smaller id).
 
+How many blocks are scored depends on the data: where block maxima say little,
+as for directions spread evenly in many dimensions, all are.
+
 The stated queries meet all rows in tasks of ``group_rows`` candidates times
 ``chunk_rows`` queries; each task keeps k rows a query, and the best k of these
 are the result. Nothing is broadcast and no task grows with the table.
@@ -15,7 +18,8 @@ are the result. Nothing is broadcast and no task grows with the table.
 Components become floor(64 * x). Vectors that are null, empty, or hold null or
 non-finite components take no part, nor do rows without id. Rows that share an
 id count once, by their smallest vector. Vectors of another length than the
-query's score over the components both have (missing ones are 0). An empty
+query's score over the components both have (missing ones are 0). Scores are
+exact; one beyond 64 bits is given as the nearest 64-bit integer. An empty
 table gives an empty result; other columns are not read.
 """
 
@@ -128,6 +132,13 @@ def search_blocks(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarr
     return row, best_i[row, col], best_s[row, col], done
 
 
+def longs(scores: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit integers; those out of range become the nearest one."""
+    if scores.dtype == object:
+        scores = np.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in scores], np.int64)
+    return scores.astype(np.int64)
+
+
 def best_of(rows: np.ndarray, top: int) -> np.ndarray:
     """The best *top* (query, id, score) rows of each query."""
     rows = rows[np.lexsort((rows[:, 1], -rows[:, 2], rows[:, 0]))]
@@ -154,7 +165,7 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, id_col: str =
                 q_ids, q = unpacked(x["q_ids"], x["q_dims"], x["q_values"])
                 ids, v = unpacked(x["ids"], x["dims"], x["values"])
                 row, i, s, _ = search_blocks(q_ids, q, ids, v, top)
-                new.append(np.column_stack((q_ids[row], i, s.astype(np.int64))))
+                new.append(np.column_stack((q_ids[row], i, longs(s))))
                 if sum(map(len, new)) > MERGE_ROWS + len(kept):
                     kept, new = best_of(np.concatenate((kept, *new)), top), []
         kept = best_of(np.concatenate((kept, *new)), top)
