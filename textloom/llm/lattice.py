@@ -20,8 +20,9 @@ of word marks or a line feed (none of such vocabularies does), so each distinct
 word's lattice is built once a chunk.
 
 An empty or null text has one segmentation, the empty one. A text with fewer
-than k segmentations gives as many rows as it has. A word mark in a text is
-decoded as a space. Rows that repeat an id and a text get equal samples. An
+than k segmentations gives as many rows as it has. A word mark in a text cannot
+be told from a space, so it is decoded as one, and ``round_trip`` is false for
+such a text. Very long texts are whole units of a chunk of their own. Rows that repeat an id and a text get equal samples. An
 empty table gives an empty result; other columns are not read.
 """
 
@@ -32,6 +33,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +64,7 @@ class Vocabulary:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        n = sp.get_piece_size()
+        n = self.size = sp.get_piece_size()
         ids = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
         self.byte_ids = np.full(256, -1, np.int64)
         for i in range(n):
@@ -78,14 +80,13 @@ class Vocabulary:
         rank = {i: r for r, i in enumerate(sorted(ids, key=lambda i: (-sp.get_score(i), i)))}
         weight = np.array([-theta * np.log(rank[i] + 2.7) for i in ids])
         self.byte_weight = float(-theta * np.log(n + 2.7))
-        h = np.array([self.hash_of(p) for p in pieces], S.U)
+        h, heads = hashes_of(pieces)
         order = np.argsort(h)
         self.hashes, self.ids, self.weights = h[order], np.array(ids)[order], weight[order]
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("pieces must be distinct")
-        starts = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
         self.starts = np.zeros(1 << SLOT_BITS, bool)
-        self.starts[[self.hash_of(p) >> 64 - SLOT_BITS for p in starts]] = True
+        self.starts[(heads >> S.U(64 - SLOT_BITS)).astype(np.int64)] = True
         # slot of a hash's upper bits -> first piece there; pieces of one slot are neighbours
         slot = (self.hashes >> S.U(64 - SLOT_BITS)).astype(np.int64)
         self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
@@ -111,13 +112,6 @@ class Vocabulary:
             maybe = maybe[~hit]
         return out
 
-    @staticmethod
-    def hash_of(piece: str) -> int:
-        h = 0
-        for c in piece:
-            h = (h * int(S.LEVELS[10]) + (ord(c) + 1) * int(S.LEVELS[11])) & (1 << 64) - 1
-        return int(S.mix(np.array([h], S.U))[0])
-
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 text of a sequence of ids, without the space that encoding puts in front."""
         return self.decoded(ids, np.array([0, len(ids)]))[0][1:]
@@ -128,6 +122,31 @@ class Vocabulary:
         return self.text[at].tobytes(), ends[bounds].tolist()
 
 
+def hashes_of(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each piece, and those of all its beginnings."""
+    sizes = np.array([len(p) for p in pieces])
+    code = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).astype(S.U)
+    at = np.cumsum(sizes) - sizes
+    h, heads = np.zeros(len(pieces), S.U), []
+    for i in range(int(sizes.max(initial=0))):
+        live = np.flatnonzero(sizes > i)
+        h[live] = h[live] * S.LEVELS[10] + (code[at[live] + i] + S.U(1)) * S.LEVELS[11]
+        heads.append(S.mix(h[live]))
+    return S.mix(h), np.concatenate(heads) if heads else h
+
+
+@lru_cache(maxsize=2)
+def vocabulary(model_file: str, theta: float = THETA) -> Vocabulary:
+    """The vocabulary of a model file, read once in a process."""
+    return Vocabulary(model_file, theta)
+
+
+@lru_cache(maxsize=1)
+def unit_table(model_file: str, theta: float) -> Table:
+    """The lattices that a worker has built so far, kept from task to task within EDGES_HELD."""
+    return Table(vocabulary(model_file, theta))
+
+
 @dataclass
 class Lattice:
     """Edges of the lattices of distinct units; node i of a unit is its i-th character.
@@ -476,8 +495,7 @@ def encode_samples(docs: DataFrame, model_file: str, k: int = 2, theta: float =
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Vocabulary(model_file, theta)
-        table = Table(vocab)
+        vocab, table = vocabulary(model_file, theta), unit_table(model_file, theta)
         for b in batches:
             data, offsets = S.texts_of(b.column(3))
             seeds = S.mix(b.column(1).to_numpy().view(S.U) + S.U(seed)) ^ S.mix(b.column(2).to_numpy().view(S.U))
@@ -490,7 +508,7 @@ def encode_samples(docs: DataFrame, model_file: str, k: int = 2, theta: float =
                     text, cut = vocab.decoded(ids, bounds)
                     ends = bounds.tolist()
                     digest = [hashlib.sha256(packed[4 * i : 4 * j]).hexdigest() for i, j in zip(ends, ends[1:], strict=False)]
-                    same = [text[i:j] == (b" " + t.replace(_MARK, b" ") if t else b"") for i, j, t in zip(cut, cut[1:], (texts[d] for d in docs_.tolist()), strict=False)]
+                    same = [text[i:j] == (b" " + t if t else b"") for i, j, t in zip(cut, cut[1:], (texts[d] for d in docs_.tolist()), strict=False)]
                     n = len(docs_)
                     arrays = [b.column(0).take(pa.array(docs_ + first)), pa.array(np.full(n, s + 1, np.int32)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(lp), pa.array(v), pa.array(inside), pa.array(digest, pa.string()), pa.array(same, pa.bool_())]
                     names = ["doc_id", *(x.split()[0] for x in OUT.split(", "))]
@@ -507,3 +525,30 @@ def encode_samples(docs: DataFrame, model_file: str, k: int = 2, theta: float =
     rows = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), whole_text(text_col).alias("text"), *carry)
     more = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in carry)
     return rows.mapInArrow(run, f"doc_id {kind}, {OUT}" + (", ids array<int>" if with_ids else "") + more)
+
+
+def decode_ids(encoded: DataFrame, model_file: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
+    """*encoded* with the text that a list of piece ids stands for in column *out*.
+
+    The space that encoding puts in front is taken off; no ids give an empty
+    text, a null list, or one with an id that is null or not in the vocabulary,
+    gives null. Bytes that are not UTF-8 together become replacement characters.
+    """
+    if out in encoded.columns:
+        raise ValueError(f"there is a column {out} already")
+    kinds = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes)
+    where = encoded.columns.index(ids_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(model_file, THETA)
+        for b in batches:
+            texts: list[str | None] = []
+            for x in b.column(where):
+                ids = x.as_py()
+                if ids is None or any(i is None or not 0 <= i < vocab.size for i in ids):
+                    texts.append(None)
+                else:
+                    texts.append(vocab.decode(np.array(ids, np.int64)).decode(errors="replace"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
+
+    return encoded.mapInArrow(run, f"{kinds}, `{out}` string")
