@@ -57,25 +57,32 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests on one machine) a temporary
-    folder takes its place.
+    Only where the session leaves it unset and the master is local (tests on one
+    machine) a temporary folder takes its place; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete scratch *tables* that are no longer read."""
+    for t in tables:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Give back disk: scratch *tables* no longer read, and shuffle files of finished queries.
 
     Spark's cleaner drops a query's shuffle files once nothing refers to the
     query; it learns of that from the garbage collector, a moment later.
     """
-    for t in tables:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._scratch)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    discard(spark, *tables)
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()

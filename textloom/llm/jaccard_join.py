@@ -43,7 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.llm import symbols as S
-from textloom.llm.common import fresh, materialise, release, row_key, whole_text
+from textloom.llm.common import discard, fresh, materialise, release, row_key, whole_text
 
 SHINGLE = 5
 RATIO = 1.6
@@ -486,9 +486,10 @@ def one_round(members: DataFrame, labels: DataFrame, sets: DataFrame, groups: in
     group = materialise(deltas(group, parts).withColumn("r", 7 * (F.col("own") + size) - F.col("n")), "deltas")
     least = group.groupBy(*PIVOT).agg(F.min(F.struct("r", *CLASS)).alias("m"))
     sure = group.join(least, PIVOT).where("r + m.r <= 0 and (f1 <> m.f1 or f2 <> m.f2)")
-    links = materialise(sure.select(F.col("m.f1").alias("a1"), F.col("m.f2").alias("a2"), F.col("f1").alias("b1"), F.col("f2").alias("b2")).distinct(), "verified")
-    after = relabelled(labels, links)
-    named = labelled(group, after)
+    certain = sure.select(F.col("m.f1").alias("a1"), F.col("m.f2").alias("a2"), F.col("f1").alias("b1"), F.col("f2").alias("b2"))
+    # within a group these count as one component at once
+    named = labelled(group, labels).join(least, PIVOT)
+    named = named.withColumn("label", F.when(F.col("r") + F.col("m.r") <= 0, F.struct(F.col("m.f1").alias("l1"), F.col("m.f2").alias("l2"))).otherwise(F.col("label"))).drop("m")
     low = named.groupBy(*PIVOT, "label").agg(F.min("r").alias("r"))
     lowest = low.groupBy(*PIVOT).agg(F.min(F.struct("r", "label")).alias("one"))
     other = low.join(lowest, PIVOT).groupBy(*PIVOT).agg(F.first("one").alias("one"), F.min(F.when(F.col("label") != F.col("one.label"), F.col("r"))).alias("two"))
@@ -506,13 +507,13 @@ def one_round(members: DataFrame, labels: DataFrame, sets: DataFrame, groups: in
     pairs = met.agg((F.sum("k") * F.sum("few") - F.sum(F.col("k") * F.col("few"))).cast("double").alias("pairs")).groupBy(*PIVOT).agg(F.sum("pairs").alias("pairs"))
     many = able.groupBy(*PIVOT).agg(F.count(F.lit(1)).alias("k")).join(pairs, PIVOT).where(F.col("pairs") > generous * F.col("k")).select(*PIVOT)
     many = materialise(many, "many")
-    links = links_of(distances(candidates(probes.join(many, PIVOT, "left_anti")), sets))
-    last = relabelled(after, materialise(links, "verified"))
+    found = links_of(distances(candidates(probes.join(many, PIVOT, "left_anti")), sets))
+    last = relabelled(labels, materialise(certain.union(found).distinct(), "verified"))
     left = able.join(many, PIVOT).select(*PIVOT, *CLASS, "first")
     columns = [*BUCKET, *CLASS, "n", "probe", "indexed"]
     open_ = full.select(*columns).join(chosen, BUCKET).where("f1 <> p1 or f2 <> p2").join(left, [*PIVOT, *CLASS])
     open_ = materialise(open_.select(*columns, F.col("first").alias("seen")), "open")
-    release(spark, parts, chosen, group, able, probes, many)
+    discard(spark, parts, chosen, group, able, probes, many)
     return open_, last
 
 
@@ -529,7 +530,7 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The labels after the written *links*; both tables go if they are not the result."""
     spark = labels.sparkSession
     out = components(labels, links) if links.limit(1).count() else labels
-    release(spark, links, *([labels] if out is not labels else []))
+    discard(spark, links, *([labels] if out is not labels else []))
     return out
 
 
@@ -540,9 +541,9 @@ def settled(buckets: DataFrame, labels: DataFrame, sets: DataFrame, groups: int)
     while True:
         open_ = materialise(unresolved(members, labels), "unresolved")
         if generous > PAIRS_PER_MEMBER:
-            release(spark, members)
+            discard(spark, members)
         if not open_.limit(1).count():
-            release(spark, open_)
+            discard(spark, open_)
             return labels
         members, labels = one_round(open_, labels, sets, groups, generous)
         release(spark, open_)
@@ -592,7 +593,7 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
             break
     out = at.join(points.select(F.col("node").alias("label"), "top"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
     out = materialise(out.select(F.col("node.*"), F.col("label")).toDF("f1", "f2", "label").select("f1", "f2", F.col("label").getField(at.schema["label"].dataType.fieldNames()[0]).alias("l1"), F.col("label").getField(at.schema["label"].dataType.fieldNames()[1]).alias("l2")), "labels")
-    release(spark, *old, points, edge)
+    discard(spark, *old, points, edge)
     return out
 
 
