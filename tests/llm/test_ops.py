@@ -105,6 +105,24 @@ def test_scan_and_sweep_agree():
             assert alike == members
 
 
+def test_maximal_groups(spark):
+    """Every group is a repeat with all its places, and all repeated bytes are in groups."""
+    rnd = random.Random(8)
+    pool = ["".join(rnd.choice("abcd ") for _ in range(rnd.randint(200, 500))) for _ in range(4)]
+    texts = [rnd.choice(pool)[: rnd.randint(150, 500)] + "".join(rnd.choice("xyz") for _ in range(rnd.randint(0, 80))) + rnd.choice(["", pool[0]]) for _ in range(40)]
+    groups = defaultdict(list)
+    for r in suffix_repeats.maximal_groups(frame(spark, list(enumerate(texts)))).collect():
+        groups[r.key, r.nth].append((r.doc_id, r.start, r.length))
+    hit = [bytearray(len(t)) for t in texts]
+    for places in groups.values():
+        assert len({texts[d][s : s + n] for d, s, n in places}) == 1 and len(set(places)) == len(places) > 1 and places[0][2] >= 200
+        string = texts[places[0][0]][places[0][1] : places[0][1] + places[0][2]]
+        assert len(places) == sum(t.startswith(string, i) for t in texts for i in range(len(t)))
+        for d, s, n in places:
+            hit[d][s : s + n] = b"\1" * n
+    assert [sum(h) for h in hit] == [x[2] for x in brute_bytes(list(enumerate(texts)))] and groups
+
+
 # op2
 
 

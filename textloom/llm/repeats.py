@@ -13,7 +13,8 @@ place, and only about 2 of ``window - k`` positions need to be compared.
 3. ``walk``: in each document, runs of anchors joined by such single links are
    compacted to paths. What is forced around an anchor stands at every place of
    its key, so windows inside need no further look. Only where a context (all
-   windows of an anchor) is wider, at branches and ends, is it sent on.
+   windows of an anchor) is wider, at branches and ends, is it sent on. Without
+   ``compact`` every context of a repeated anchor is, and there are no links.
 
 Texts are cut out of the documents only after the small keys have met.
 """
@@ -42,6 +43,12 @@ class Spec:
     unit: str  # "byte" or "word"
     #: Repeats count only between documents, for the larger id of the two.
     across: bool
+    #: Whether runs of single links are settled without their contexts.
+    compact: bool = True
+
+    @property
+    def edge_columns(self) -> list[str]:
+        return ["rid", "rhash", "nth", "key", *(["link", "plink"] if self.compact else [])]
 
     def sequence(self, data: np.ndarray, offsets: np.ndarray) -> S.Sequence:
         return S.as_bytes(data, offsets) if self.unit == "byte" else S.as_words(data, offsets)
@@ -57,7 +64,7 @@ def _anchored(spec: Spec, seq: S.Sequence):
     doc = np.searchsorted(seq.bounds, pos, "right") - 1
     linked = np.zeros(len(pos), bool)
     link = np.zeros(len(pos), S.U)
-    if len(pos):
+    if len(pos) and spec.compact:
         linked[:-1] = doc[1:] == doc[:-1]
         at = np.flatnonzero(linked)
         link[at] = S.Spans(seq.symbols).hash(pos[at], pos[at + 1] + spec.k)
@@ -65,7 +72,7 @@ def _anchored(spec: Spec, seq: S.Sequence):
 
 
 def edges(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, rhash, nth, key, link, plink), one row per anchor.
+    """(rid, rhash, nth, key, link, plink), one row per anchor; no links without ``compact``.
 
     Where a document begins or ends, the link is a value of that place alone,
     which no other place shares.
@@ -86,18 +93,17 @@ def edges(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "
                 before[0] = False
                 nth = np.arange(len(pos)) - began
                 own = S.mix(name[doc + first] + nth.astype(S.U))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(b.column(i).take(row) for i in range(2)),
-                        pa.array(nth.astype(np.int32)),
-                        pa.array(key.view(np.int64)),
-                        pa.array(np.where(linked, link, own).view(np.int64)),
-                        pa.array(np.where(before, np.roll(link, 1), ~own).view(np.int64)),
-                    ],
-                    ["rid", "rhash", "nth", "key", "link", "plink"],
-                )
+                arrays = [
+                    *(b.column(i).take(row) for i in range(2)),
+                    pa.array(nth.astype(np.int32)),
+                    pa.array(key.view(np.int64)),
+                    pa.array(np.where(linked, link, own).view(np.int64)),
+                    pa.array(np.where(before, np.roll(link, 1), ~own).view(np.int64)),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays[: len(spec.edge_columns)], spec.edge_columns)
 
-    return _documents(docs, id_col, text_col).mapInArrow(run, "rid long, rhash long, nth int, key long, link long, plink long")
+    kinds = ", ".join(f"{c} {'int' if c == 'nth' else 'long'}" for c in spec.edge_columns)
+    return _documents(docs, id_col, text_col).mapInArrow(run, kinds)
 
 
 def nodes(edge_rows: DataFrame, spec: Spec) -> DataFrame:
@@ -106,7 +112,7 @@ def nodes(edge_rows: DataFrame, spec: Spec) -> DataFrame:
     Rows that are equal in all but their place in the cluster count each: a
     repeated row has the links of its copy, and n is 2.
     """
-    one = lambda c: F.min(c) == F.max(c)
+    one = lambda c: F.min(c) == F.max(c) if spec.compact else F.lit(False)
     count, ends = F.count(F.lit(1)).alias("n"), (F.min(row_id()).alias("low"), F.max(row_id()).alias("high"))
     out = edge_rows.groupBy("key").agg(*(ends if spec.across else (count,)), one("link").alias("ahead"), one("plink").alias("back"))
     low = F.col("low") if spec.across else F.lit(0).cast("long").alias("low")
@@ -174,7 +180,7 @@ def _walk_chunk(spec, b, first, seq, at, nth, low_doc, ahead, back, order):
     s, e = np.maximum(lo, reach_left), np.minimum(hi + spec.window, reach_right)
     place = known & (e - s >= spec.window)
     bound = np.flatnonzero(place & (least < mine) if spec.across else place)
-    if len(bound):
+    if len(bound) and spec.compact:
         # consecutive places that overlap are one span
         s, e = s[bound], e[bound]
         new = np.concatenate(([True], (doc[bound][1:] != doc[bound][:-1]) | (s[1:] > e[:-1])))
@@ -182,7 +188,7 @@ def _walk_chunk(spec, b, first, seq, at, nth, low_doc, ahead, back, order):
         tail = np.concatenate((head[1:], [len(bound)])) - 1
         d = doc[bound][head]
         yield _rows(b, first + d, PLACE, s[head] - base[bound][head], e[tail] - base[bound][head])
-    other = np.flatnonzero(known & ~interior)
+    other = np.flatnonzero(known & ~interior if spec.compact else known)
     if len(other):
         spans = S.Spans(seq.symbols)
         ctx = spans.hash(lo[other], hi[other] + spec.window) ^ S.mix((pos[other] - lo[other]).astype(S.U) + S.U(1))

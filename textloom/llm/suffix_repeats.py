@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import row_key, whole_text
+from textloom.llm.common import row_id, row_key, whole_text
 from textloom.llm.repeats import CONTEXT, Spec, covered, spans_of, walk
 
 WINDOW = 200
-SPEC = Spec(WINDOW, 32, "byte", across=False)
+SPEC = Spec(WINDOW, 32, "byte", across=False, compact=False)
 #: Groups of more distinct contexts than this are swept by split lengths instead.
 MOST_SCANNED = 4096
 
@@ -173,11 +173,64 @@ def scan_sorted(batches: Iterator[pa.RecordBatch], window: int = WINDOW, anchor:
         yield from flush(pa.Table.from_batches(held))
 
 
+def grouped_sorted(batches: Iterator[pa.RecordBatch], window: int = WINDOW, anchor: int = SPEC.k) -> Iterator[pa.RecordBatch]:
+    """Suffixes sorted by (key, right) -> a row (key, ctx, nth, before, after) for each member of the key's nth group."""
+
+    def of_key(table: pa.Table) -> pa.RecordBatch:
+        key, ctx, n = (table.column(c).combine_chunks().to_numpy() for c in ("key", "ctx", "n"))
+        right, right_len = padded(table.column("right").combine_chunks(), window)
+        left, left_len = padded(table.column("left").combine_chunks(), window - anchor)
+        lcp = np.zeros(len(key), np.int64)
+        lcp[1:] = common(right[1:], right[:-1], np.minimum(right_len[1:], right_len[:-1]))
+        groups: list[tuple[int, int, list[int]]] = []
+        if len(key) > 1:
+            scan_group(lcp.tolist(), left, left_len, window, groups)
+        # a context with several places is a group as a whole, if it is not in one of that extent
+        whole = {(before, after, i) for before, after, members in groups for i in members}
+        groups += [(int(left_len[i]), int(right_len[i]), [i]) for i in np.flatnonzero(n > 1).tolist() if (left_len[i], right_len[i], i) not in whole]
+        at = np.array([i for _, _, members in groups for i in members], np.int64)
+        each = [len(members) for _, _, members in groups]
+        columns = [np.repeat(np.array([g[j] for g in groups], np.int32), each) for j in (0, 1)]
+        arrays = [key[at], ctx[at], np.repeat(np.arange(len(groups), dtype=np.int32), each), *columns]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "ctx", "nth", "before", "after"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        keys = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if held and held[-1].column(0)[-1].as_py() != keys[a]:
+                yield of_key(pa.Table.from_batches(held))
+                held = []
+            held.append(b.slice(a, z - a))
+    if held:
+        yield of_key(pa.Table.from_batches(held))
+
+
+def maximal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The repeats around each anchor with all their places: key, nth, doc_id, start, length (bytes).
+
+    (key, nth) names a group. A group is maximal within the anchor's context (up
+    to ``window`` bytes from the anchor on, and as many as can be in one window
+    with it before): its members do not all go on alike on either side there. A
+    longer repeat shows as a group at each of its anchors.
+    """
+    walked = walk(docs, SPEC, id_col, text_col)
+    found = _suffixes(walked).mapInArrow(grouped_sorted, "key long, ctx long, nth int, before int, after int")
+    members = walked.where(F.col("kind") == CONTEXT).select("rid", "rhash", "start", "key", "ctx")
+    start = (F.col("start") - F.col("before")).alias("start")
+    return members.join(found, ["key", "ctx"]).select("key", "nth", row_id().alias(id_col), start, (F.col("before") + F.col("after")).alias("length"))
+
+
+def _suffixes(walked: DataFrame) -> DataFrame:
+    """(key, ctx, n, left, right) dealt by key, in suffix order."""
+    suffixes = walked.where(F.col("kind") == CONTEXT).groupBy("key", "ctx", "left", "right").agg(F.count(F.lit(1)).alias("n"))
+    return suffixes.select("key", "ctx", "n", "left", "right").repartition("key").sortWithinPartitions("key", "right")
+
+
 def repeat_ranges(walked: DataFrame) -> DataFrame:
     """(key, ctx, before, after, low): how far around an anchor a context is repeated."""
-    suffixes = walked.where(F.col("kind") == CONTEXT).groupBy("key", "ctx", "left", "right").agg(F.count(F.lit(1)).alias("n"))
-    sorted_ = suffixes.select("key", "ctx", "n", "left", "right").repartition("key").sortWithinPartitions("key", "right")
-    out = sorted_.mapInArrow(scan_sorted, "key long, ctx long, before int, after int")
+    out = _suffixes(walked).mapInArrow(scan_sorted, "key long, ctx long, before int, after int")
     return out.withColumn("low", F.lit(None).cast("long"))
 
 
