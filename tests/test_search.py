@@ -218,3 +218,89 @@ def test_entry_without_llm():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert not any(re.match("op\\d", n) for n in __import__("textloom.queries", fromlist=["x"]).queries())
+
+
+def test_appended_again(spark, tmp_path):
+    """A document that comes again replaces its older version, in one commit, however often."""
+    index = Index.create(spark, str(tmp_path / "ix"))
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index.append(docs((1, "alpha beta"), (2, "beta")))
+    before = index.generation()
+    index.append(docs((1, "gamma delta"), (3, "x"), (2, None)))
+    assert index.generation() == before + 1
+    assert ids(index.search("alpha AND gamma")) == set() and ids(index.search("NOT zz")) == {1, 3}
+    assert index.count("NOT zz") == 2 and index.count("beta") == 0 and index.count("gamma") == 1
+    assert index.explain("gamma")["count_fallback"] == "documents are hidden"
+    assert index.compact().documents == 2 and index.explain("gamma")["count_fallback"] is None
+    with pytest.raises(ValueError, match="repeat an id"):
+        index.append(docs((7, "a"), (7, "b")))
+    assert index.count("NOT zz") == 2
+    with pytest.raises(ValueError, match="source"):
+        Index(spark, index.path, Options(use_index=False)).search("a")
+
+
+def test_snapshot_and_writers(spark, tmp_path):
+    index = Index.create(spark, str(tmp_path / "ix"))
+    index.append(spark.createDataFrame([(i, "a" if i % 2 else "a b") for i in range(10)], "doc_id long, text string"))
+    view = index.snapshot()
+    index.delete(spark.createDataFrame([(i,) for i in range(5)], "doc_id long"))
+    assert ids(view.search("a")) == set(range(10)) and ids(index.search("a")) == set(range(5, 10)) and view.count("a") == 10
+    # a second writer of the same generation fails and leaves everything as it was
+    with pytest.raises(RuntimeError, match="committed first"):
+        index._commit(view.manifest, index.generation())
+    assert ids(index.search("a")) == set(range(5, 10))
+    assert not index.vacuum(grace_seconds=3600) and len(index.vacuum()) == 2
+
+
+def test_merge_by_tiers(spark, tmp_path):
+    index = Index.create(spark, str(tmp_path / "ix"))
+    live = {}
+    for i, size in enumerate((40, 1, 2, 30, 3)):
+        rows = {100 * i + j: "a b" if j % 2 else "b" for j in range(size)}
+        live |= rows
+        index.append(spark.createDataFrame(list(rows.items()), "doc_id long, text string"))
+    index.delete(spark.createDataFrame([(200,), (3,)], "doc_id long"))
+    del live[200], live[3]
+    done = index.merge(at_least=4, most=3)
+    assert (done.segments_before, done.segments_after, done.documents, done.removed) == (5, 3, 5, 1)
+    assert sorted(s["documents"] for s in index.manifest()["segments"]) == [5, 30, 40]
+    assert ids(index.search("b")) == set(live) and ids(index.search("a")) == {d for d, t in live.items() if "a" in t}
+    assert index.merge(at_least=4).segments_after == 3
+    index.append(spark.createDataFrame([(3, "a again")], "doc_id long, text string"))
+    assert 3 in ids(index.search("again"))
+
+
+def test_limits_on_every_path(spark):
+    long = spark.createDataFrame([("a " * (1 << 20),), ("é" * (3 << 19) + " 日",)], "text string")
+    for row in range(2):
+        one = spark.createDataFrame([long.collect()[row]], "text string")
+        for run in (lambda d: with_tokens(d), lambda d: d.where(matches("text", "a")), lambda d: d.where(matches("text", "NOT a"))):
+            with pytest.raises(Exception, match="document bytes"):
+                run(one).collect()
+    with pytest.raises(ValueError, match="tokens"):
+        with_tokens(spark.createDataFrame([("a", 1)], "text string, Tokens int"))
+
+
+def test_analysis_scans_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "日本")], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    found = with_tokens(spark.read.parquet(str(tmp_path / "t")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and len(found.collect()) == 2
+    both = spark.read.parquet(str(tmp_path / "t")).where(matches("text", "a") & matches("text", "NOT b"))
+    assert both._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and ids(both) == {1}
+
+
+def test_bitmaps_of_any_id(spark):
+    some = [-(2**40), -32769, -32768, -5, -1, 0, 1, 3, 32767, 32768, 2**40]
+    rows = spark.createDataFrame([(t, d) for d in some for t in (["x", "y"] if d % 2 else ["x"])], "term string, doc_id long")
+    bits = B.term_bitmaps(rows)
+    odd = sum(d % 2 for d in some)
+    assert B.count_any_of(bits, ["x"]).first().n == len(some) and B.count_all_of(bits, ["x", "y"]).first().n == odd
+    assert B.count_without(bits, "x", "y").first().n == len(some) - odd
+
+
+def test_version(spark):
+    from textloom import VERSION
+
+    register(spark)
+    assert spark.sql("SELECT textloom_version() AS v").first().v == VERSION
