@@ -8,17 +8,22 @@
    document's position in the stream.
 
 Every stage but the last returns the columns of documents. A stage's result is
-written as Parquet and read again by the next one. Empty tables pass through.
+written as Parquet and read again by the next one; a table goes once the stage
+after the next has been written, the last one with the driver's JVM.
+
+Null and empty texts are scored like any other, are copies of each other, have
+no near copies and encode to nothing. Very long texts are read whole in every
+stage. Of rows repeated with id and text one stays; null ids and null sources
+are kept (see the operators). Other columns pass through all stages but the
+last, whatever their names. Empty tables pass through.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import exact_dedup, jaccard_join, lattice, mixing, quality
-from textloom.llm.common import read_table, scratch_dir
+from textloom.llm.common import discard, materialise, read_table
 from textloom.llm.queries import MODEL_FILE, REST_WEIGHT, WEIGHTS
 
 
@@ -55,13 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written to the shared scratch folder."""
+    """All stages over documents, each result but the last written to the shared scratch folder."""
     docs = read_table(spark, sf_dir, "documents")
-    folder = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for n, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if n == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{n}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{n}")
-    return docs
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        out = materialise(stage(spark, docs, sf_dir), f"pipeline-{n}")
+        if n:
+            discard(spark, docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)
