@@ -389,6 +389,10 @@ def test_sharding(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"), names, 1009)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 57 and {r.shard for r in back.collect()} == {r.shard for r in out}
+    clash = df.withColumn("shard", F.lit("mine")).withColumn("_slot", F.lit(1))
+    sharding.write_shards(clash, str(tmp_path / "clash"), names, 1009)
+    again = spark.read.parquet(str(tmp_path / "clash"))
+    assert {r.shard for r in again.collect()} == {"mine"} and {r._shard for r in again.collect()} == {r.shard for r in out}
 
 
 # op9
@@ -480,6 +484,14 @@ def test_secrets(spark):
     same(secret_scan.scan_digest(frame(spark, rows)), want)
 
 
+def test_runs_by_their_least_length(spark):
+    rules = (secret_scan.Rule("hex", "[0-9a-f]+", 0, 16), secret_scan.Rule("access", "AKIA[A-Z0-9]+", 0, 8))
+    assert secret_scan.run_pattern(secret_scan.RULES[2]) == "[0-9a-f]{32,}" and secret_scan.run_pattern(rules[1]) == "AKIA[A-Z0-9]{4,}"
+    texts = ["f" * 15, "x" + "0a" * 8 + "x", "AKIAB", "AKIAAKIA", "AKIAAKIAAKIA abc " + "d" * 40]
+    out = {r.doc_id: [(s.start, s.rank, s.stop, s.kind) for s in r.spans] for r in secret_scan.scan(frame(spark, list(enumerate(texts))), rules).collect()}
+    assert out == {i: brute_secrets(t, rules) for i, t in enumerate(texts)}
+
+
 def test_trigram_queries():
     q = {r.kind: secret_scan.trigram_query(r.pattern) for r in secret_scan.RULES}
     assert q["hex"] == secret_scan.ANY and q["access"] == frozenset([frozenset({"aki", "kia"})])

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.llm.common import fresh
+
 REST = "*"
 BLOCK_ROWS = 16
 RESOLUTION = 1024
@@ -172,11 +174,12 @@ def with_positions(stream: DataFrame) -> DataFrame:
     numbers in the files' names and of the rows inside a file. Only the files'
     row counts are collected.
     """
-    rows = stream.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    sizes = rows.groupBy("__file").count().collect()
+    file, row, first = fresh(stream, "file", "row", "first")
+    rows = stream.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    sizes = rows.groupBy(file).count().collect()
     start, starts = 0, []
-    for r in sorted(sizes, key=lambda r: (*(int(x) for x in re.match(r"part-(\d+)-.*?-c(\d+)\.", r["__file"]).groups()), r["__file"])):
-        starts.append((r["__file"], start))
+    for r in sorted(sizes, key=lambda r: (*(int(x) for x in re.match(r"part-(\d+)-.*?-c(\d+)\.", r[file]).groups()), r[file])):
+        starts.append((r[file], start))
         start += r["count"]
-    at = stream.sparkSession.createDataFrame(starts, "__file string, __start long")
-    return rows.join(F.broadcast(at), "__file").withColumn("position", F.col("__start") + F.col("__row")).select(*stream.columns, "position")
+    at = stream.sparkSession.createDataFrame(starts, f"`{file}` string, `{first}` long")
+    return rows.join(F.broadcast(at), file).withColumn("position", F.col(first) + F.col(row)).select(*stream.columns, "position")

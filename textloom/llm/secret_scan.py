@@ -16,6 +16,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import re._constants as sre
 import re._parser as parser
 from dataclasses import dataclass
@@ -173,8 +174,13 @@ def found_spans(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(lengths, start, step, lambda a: a.out)
 
 
-#: Greedy runs of one class keep only the long ones, so short runs need not be listed.
-RUN = {r"[0-9a-f]+": r"[0-9a-f]{32,}", r"AKIA[A-Z0-9]+": r"AKIA[A-Z0-9]{12,}"}
+def run_pattern(rule: Rule) -> str:
+    """The rule's pattern; a word before a greedy run of one class with the run's least length in it.
+
+    A run that is too short has no longer one inside, so short runs need not be listed.
+    """
+    m = re.fullmatch(r"([A-Za-z0-9]*)(\[[^\]\\]+\])\+", rule.pattern)
+    return rule.pattern if m is None or rule.group else f"{m[1]}{m[2]}{{{max(1, rule.least - len(m[1]))},}}"
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,7 +193,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     none = F.array().cast("array<struct<start:int,rank:int,stop:int,kind:string>>")
     parts = []
     for order, rule in enumerate(rules):
-        spans = found_spans(F.col("text"), Rule(rule.kind, RUN.get(rule.pattern, rule.pattern), rule.group, rule.least), order)
+        spans = found_spans(F.col("text"), Rule(rule.kind, run_pattern(rule), rule.group, rule.least), order)
         parts.append(spans if needs[rule.kind] == ANY else F.when(F.array_contains("kinds", rule.kind), spans).otherwise(none))
     return checked.select("doc_id", F.array_sort(F.concat(*parts)).alias("spans"))
 

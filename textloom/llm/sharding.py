@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import fresh
+
 TABLE_SIZE = 65_537
 MAX_TABLE = 1 << 20
 
@@ -70,8 +72,13 @@ def assign_shards(docs: DataFrame, shards: Sequence[str], table_size: int = TABL
 
 
 def write_shards(docs: DataFrame, path: str, shards: Sequence[str], table_size: int = TABLE_SIZE, id_col: str = "doc_id", files_per_shard: int = 4) -> None:
-    """Parquet folders ``shard=<n>`` of whole rows; each shard is dealt to several writers."""
-    table = docs.sparkSession.createDataFrame(list(enumerate(fill_table(shards, table_size))), "__slot int, shard int")
-    keyed = docs.drop("shard").withColumn("__slot", slot_of(F.col(id_col), table_size))
-    placed = keyed.join(F.broadcast(table), "__slot").withColumn("__part", F.pmod("__slot", F.lit(files_per_shard)))
-    placed.repartition("shard", "__part").drop("__slot", "__part").write.partitionBy("shard").parquet(path)
+    """Parquet folders ``shard=<n>`` of whole rows; each shard is dealt to several writers.
+
+    Where *docs* has a column ``shard`` it stays, and the folders are ``_shard=<n>``.
+    """
+    slot, part = fresh(docs, "slot", "part")
+    shard = fresh(docs, "shard")[0] if "shard" in (c.lower() for c in docs.columns) else "shard"
+    table = docs.sparkSession.createDataFrame(list(enumerate(fill_table(shards, table_size))), f"`{slot}` int, `{shard}` int")
+    keyed = docs.withColumn(slot, slot_of(F.col(id_col), table_size))
+    placed = keyed.join(F.broadcast(table), slot).withColumn(part, F.pmod(slot, F.lit(files_per_shard)))
+    placed.repartition(shard, part).drop(slot, part).write.partitionBy(shard).parquet(path)
