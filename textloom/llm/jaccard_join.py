@@ -269,7 +269,7 @@ DEALT = "part int, words binary, names binary"
 def _dealt(part: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     """One row for each part (sorted), with the columns' values as bytes."""
     parts, at = np.unique(part, return_index=True)
-    stop = np.append(at[1:], len(part))
+    stop = np.append(at[1:], len(part))[: len(at)]
     blobs = [pa.array([c[i:j].tobytes() for i, j in zip(at, stop, strict=True)], pa.binary()) for c in columns]
     return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), *blobs], ["part", "words", "names", "more", "most"][: 1 + len(blobs)])
 
