@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from textloom.llm.common import row_id, row_key, whole_text
 from textloom.llm.repeats import CONTEXT, Spec, covered, spans_of, walk
 
 WINDOW = 200
-SPEC = Spec(WINDOW, 32, "byte", across=False, compact=False)
+SPEC = Spec(WINDOW, 32, "byte", across=False)
+#: For whole groups every context is compared.
+GROUPS = replace(SPEC, compact=False)
 #: Groups of more distinct contexts than this are swept by split lengths instead.
 MOST_SCANNED = 4096
 
@@ -215,7 +218,7 @@ def maximal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with it before): its members do not all go on alike on either side there. A
     longer repeat shows as a group at each of its anchors.
     """
-    walked = walk(docs, SPEC, id_col, text_col)
+    walked = walk(docs, GROUPS, id_col, text_col)
     found = _suffixes(walked).mapInArrow(grouped_sorted, "key long, ctx long, nth int, before int, after int")
     members = walked.where(F.col("kind") == CONTEXT).select("rid", "rhash", "start", "key", "ctx")
     start = (F.col("start") - F.col("before")).alias("start")
