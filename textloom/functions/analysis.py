@@ -113,12 +113,16 @@ def check_document(text: Column, limits: AnalysisLimits = LIMITS) -> Column:
 
 
 def check_tokens(found: Column, limits: AnalysisLimits = LIMITS) -> Column:
-    long = F.exists(found, lambda t: F.octet_length(t) > limits.term_bytes)
-    return (
-        F.when(F.size(found) > limits.tokens, F.raise_error(F.lit("limit: document tokens")))
-        .when(long, F.raise_error(F.lit("limit: term bytes")))
-        .otherwise(found)
-    )
+    def check(words: Column) -> Column:
+        long = F.exists(words, lambda t: F.octet_length(t) > limits.term_bytes)
+        return (
+            F.when(F.size(words) > limits.tokens, F.raise_error(F.lit("limit: document tokens")))
+            .when(long, F.raise_error(F.lit("limit: term bytes")))
+            .otherwise(words)
+        )
+
+    # a lambda's argument is evaluated once, an expression at each place it stands
+    return F.transform(F.array(found), check)[0]
 
 
 def tokens(text: Column, checked: bool = True) -> Column:
@@ -142,9 +146,25 @@ def padded(found: Column) -> Column:
 
 
 def term_vectors(df: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
-    """(id, term, tf, positions): positions from 0, sorted."""
-    flat = df.select(id_col, F.posexplode(tokens_col).alias("pos", "term"))
-    return flat.groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(id, term, tf, positions): positions from 0, sorted. Rows that repeat an id count as one document.
+
+    Each row gives its own vectors; only rows of repeated ids, which a job over the ids finds, are shuffled.
+    """
+    from textloom.operators.blocks import vectors
+
+    again = repeated(df, id_col)
+    if again.isEmpty():
+        return vectors(df, id_col, tokens_col)
+    again = again.withColumnRenamed(id_col, "again_id")
+    same = F.col(id_col).eqNullSafe(F.col("again_id"))
+    flat = df.join(again, same, "left_semi").select(id_col, F.posexplode(tokens_col).alias("pos", "term"))
+    met = flat.groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return vectors(df.join(again, same, "left_anti"), id_col, tokens_col).unionByName(met)
+
+
+def repeated(df: DataFrame, id_col: str) -> DataFrame:
+    """Ids (null too) of more than one row."""
+    return df.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(id_col)
 
 
 def invalid_vectors(vectors: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
