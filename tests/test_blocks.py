@@ -8,6 +8,8 @@ import pytest
 
 from textloom.functions.analysis import analyze_text, term_vectors, with_tokens
 from textloom.operators import blocks as K
+from textloom.operators import index as X
+from textloom.operators.index import Index
 
 
 def plan(df):
@@ -61,3 +63,46 @@ def test_vectors_without_shuffle(spark):
 def test_tokens_once(spark):
     found = with_tokens(spark.createDataFrame([("a",)], "text string"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 1 and plan(found).count("regexp_extract_all") == 1
+
+
+def test_append_reads_once(spark, tmp_path):
+    """The texts of a first append are read and analysed once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    spark.createDataFrame([(i, "a b a") for i in range(50)], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t")).mapInArrow(count, "doc_id long, text string")
+    index = Index.create(spark, str(tmp_path / "ix"))
+    index.append(docs)
+    assert read.value == 50 and index.count("a") == 50
+    name = index.manifest()["segments"][0]["name"]
+    assert sorted(index.folder._fs.listStatus(index.folder._path(f"{index.path}/{name}"))[i].getPath().getName() for i in range(3)) == ["dictionary", "docs", "postings"]
+    with pytest.raises(Exception, match="no id"):
+        index.append(spark.createDataFrame([(None, "a")], "doc_id long, text string"))
+
+
+def test_hidden_are_sent(spark, tmp_path, monkeypatch):
+    """A bounded number of hidden documents does not shuffle the postings; more give the same."""
+    index = Index.create(spark, str(tmp_path / "ix"))
+    index.append(spark.createDataFrame([(i, "a b" if i % 3 else "b") for i in range(30)], "doc_id long, text string"))
+    index.delete(spark.createDataFrame([(i,) for i in range(0, 30, 2)], "doc_id long"))
+    index.append(spark.createDataFrame([(1, "z"), (0, "a")], "doc_id long, text string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = {i for i in range(3, 30, 2) if i % 3} | {0}
+        for sent in (2_000_000, 0):
+            monkeypatch.setattr(X, "HIDDEN_SENT", sent)
+            assert ("BroadcastHashJoin" in plan(index.postings())) == bool(sent)
+            assert {r.doc_id for r in index.search("a").collect()} == want
+        old = X.Snapshot(index, {k: v for k, v in index.manifest().items() if k != "hidden"})
+        assert {r.doc_id for r in old.search("a").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(index.manifest()["hidden"].values()) == 16
+    index.compact()
+    assert index.manifest()["hidden"] == {} and {r.doc_id for r in index.search("a").collect()} == want

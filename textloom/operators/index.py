@@ -1,7 +1,8 @@
 """A full-text index in Parquet: segments under numbered manifests.
 
 A segment has postings (sorted by term, so that scans prune row groups), docs
-and a dictionary. A manifest names the live segments and tombstone files; it is
+and a dictionary. It is made from blocks of postings (see blocks), which are
+written once, sorted, and deleted. A manifest names the live segments and tombstone files; it is
 written whole and renamed, so a reader sees a change entirely or not at all, and
 segments that no manifest names do not exist. A tombstone (doc_id, upto) hides a
 document in segments numbered up to *upto*. Documents that are appended again
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import PROFILE
+from textloom.functions.analysis import with_tokens
+from textloom.operators import blocks as K
 from textloom.operators import postings as P
 from textloom.operators.ranking import rank
 from textloom.plans.predicate import as_query, matches
@@ -32,6 +35,8 @@ DOCS = "doc_id long, dl int, seg long"
 DICTIONARY = "term string, df long, cf long, seg long"
 #: Segments that one merge takes, and the number of small ones that calls for it.
 MERGE_SEGMENTS = 16
+#: Hidden documents up to which they are sent to the executors (some 50 MB); more are joined by a shuffle.
+HIDDEN_SENT = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -86,12 +91,16 @@ class Index:
 
     # writing
 
-    def _write_segment(self, rows: DataFrame, docs: DataFrame) -> str:
+    def _write_segment(self, blocks: DataFrame, docs: DataFrame | None = None) -> str:
+        """A segment of *blocks*; the documents are *docs*, or else those of the blocks."""
         name = f"seg-{uuid.uuid4().hex}"
         base = f"{self.path}/{name}"
-        # ranges of (term, doc_id): a frequent term spans files, a rare one is in one
-        rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{base}/postings")
-        docs.write.parquet(f"{base}/docs")
+        # written first, as sorting in ranges reads its input twice
+        blocks.write.parquet(f"{base}/blocks")
+        made = self.spark.read.schema(K.BLOCKS).parquet(f"{base}/blocks")
+        K.sorted_postings(made).write.parquet(f"{base}/postings")
+        (K.lengths(made) if docs is None else docs).write.parquet(f"{base}/docs")
+        self.folder.delete(f"{name}/blocks")
         written = self.spark.read.parquet(f"{base}/postings")
         P.dictionary(written).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{base}/dictionary")
         return name
@@ -106,39 +115,41 @@ class Index:
         manifest = view.manifest
         if batch is not None and batch in manifest["batches"]:
             return manifest["batches"][batch]
-        rows, lengths = P.build_postings(docs, id_col, text_col)
+        read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
         seq = manifest["next"]
-        name = self._write_segment(rows, lengths)
+        name = self._write_segment(K.of_tokens(with_tokens(read).select("doc_id", "tokens")))
         written = self.spark.read.parquet(f"{self.path}/{name}/docs")
         size = written.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
         if size.rows != size.ids:
             self.folder.delete(name)
             raise ValueError(f"{size.rows - size.ids} documents repeat an id")
-        dead = []
+        dead = {}
         if manifest["segments"]:
             ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
             again = ids.join(view.docs().select("doc_id"), "doc_id", "left_semi")
             dead = self._write_tombstones(again, seq - 1)
         batches = manifest["batches"] | ({batch: seq} if batch is not None else {})
         entry = {"name": name, "seq": seq, "documents": size.rows}
-        change = {"segments": [*manifest["segments"], entry], "tombstones": [*manifest["tombstones"], *dead], "next": seq + 1, "batches": batches}
+        change = {"segments": [*manifest["segments"], entry], "tombstones": [*manifest["tombstones"], *dead], "hidden": manifest.get("hidden", {}) | dead, "next": seq + 1, "batches": batches}
         self._commit(manifest | change, view.generation + 1)
         return seq
 
-    def _write_tombstones(self, ids: DataFrame, upto: int) -> list[str]:
-        """Names of the tombstone files: one, or none if there are no ids."""
+    def _write_tombstones(self, ids: DataFrame, upto: int) -> dict[str, int]:
+        """The tombstone files and their rows: one, or none if there are no ids."""
         name = f"dead-{uuid.uuid4().hex}"
         ids.withColumn("upto", F.lit(upto).cast("long")).write.parquet(f"{self.path}/{name}")
-        if self.spark.read.parquet(f"{self.path}/{name}").limit(1).count():
-            return [name]
+        rows = self.spark.read.parquet(f"{self.path}/{name}").count()
+        if rows:
+            return {name: rows}
         self.folder.delete(name)
-        return []
+        return {}
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> None:
         """Hide documents; ids that are not there do no harm."""
         view = self.snapshot()
         dead = self._write_tombstones(ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), view.manifest["next"] - 1)
-        self._commit(view.manifest | {"tombstones": [*view.manifest["tombstones"], *dead]}, view.generation + 1)
+        change = {"tombstones": [*view.manifest["tombstones"], *dead], "hidden": view.manifest.get("hidden", {}) | dead}
+        self._commit(view.manifest | change, view.generation + 1)
 
     def update(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
         """Replace documents: one commit hides the old versions and adds the new ones."""
@@ -171,12 +182,13 @@ class Index:
     def _rewrite(self, view: Snapshot, chosen: list[dict], tombstones: list[str]) -> Maintenance:
         """Commit one segment in place of the *chosen*; it has the number of the newest of them."""
         part = Snapshot(self, view.manifest | {"segments": chosen})
-        name = self._write_segment(part.postings().drop("seg"), part.docs().drop("seg"))
+        name = self._write_segment(K.of_postings(part.postings()), part.docs().drop("seg"))
         live = self.spark.read.parquet(f"{self.path}/{name}/docs").count()
         names = {s["name"] for s in chosen}
         rest = [s for s in view.manifest["segments"] if s["name"] not in names]
         entry = {"name": name, "seq": max(s["seq"] for s in chosen), "documents": live}
-        self._commit(view.manifest | {"segments": sorted([*rest, entry], key=lambda s: s["seq"]), "tombstones": tombstones}, view.generation + 1)
+        hidden = {n: rows for n, rows in view.manifest.get("hidden", {}).items() if n in tombstones}
+        self._commit(view.manifest | {"segments": sorted([*rest, entry], key=lambda s: s["seq"]), "tombstones": tombstones, "hidden": hidden}, view.generation + 1)
         return Maintenance(len(view.manifest["segments"]), len(rest) + 1, live, sum(s["documents"] for s in chosen) - live)
 
     def vacuum(self, grace_seconds: float = 0.0) -> list[str]:
@@ -258,6 +270,9 @@ class Snapshot:
         if dead is None:
             return rows
         hidden = dead.withColumnRenamed("doc_id", "dead_id")
+        known = self.manifest.get("hidden", {})
+        if all(n in known for n in self.manifest["tombstones"]) and sum(known[n] for n in self.manifest["tombstones"]) <= HIDDEN_SENT:
+            hidden = F.broadcast(hidden)
         return rows.join(hidden, (F.col("doc_id") == F.col("dead_id")) & (F.col("seg") <= F.col("upto")), "left_anti")
 
     def docs(self) -> DataFrame:
