@@ -10,6 +10,7 @@ from textloom.functions.analysis import analyze_text, term_vectors, with_tokens
 from textloom.operators import blocks as K
 from textloom.operators import index as X
 from textloom.operators.index import Index
+from textloom.streaming import sink
 
 
 def plan(df):
@@ -106,3 +107,17 @@ def test_hidden_are_sent(spark, tmp_path, monkeypatch):
     assert sum(index.manifest()["hidden"].values()) == 16
     index.compact()
     assert index.manifest()["hidden"] == {} and {r.doc_id for r in index.search("a").collect()} == want
+
+
+def test_stream_of_distinct_ids(spark, tmp_path, monkeypatch):
+    """A batch whose ids are distinct is not shuffled; of repeated ids the greatest text is kept."""
+    plans = []
+    put = Index.append
+    monkeypatch.setattr(sink.Index, "append", lambda self, docs, *a, **k: plans.append(plan(docs)) or put(self, docs, *a, **k))
+    for name, rows in (("one", [(1, "a"), (2, "b")]), ("two", [(1, "a"), (1, "z"), (2, None)])):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / name))
+        index = Index.create(spark, str(tmp_path / f"ix{name}"))
+        stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / name))
+        sink.append_stream(stream, index, str(tmp_path / f"cp{name}")).trigger(availableNow=True).start().awaitTermination()
+        assert {r.doc_id for r in index.search("z" if name == "two" else "a OR b").collect()} == ({1} if name == "two" else {1, 2})
+    assert "Aggregate" not in plans[0] and "Aggregate" in plans[1]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from textloom.functions.analysis import repeated
 from textloom.operators.index import MERGE_SEGMENTS, Index
 
 
@@ -17,7 +18,9 @@ def append_stream(docs: DataFrame, index: Index, checkpoint: str, id_col: str =
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        once = batch.groupBy(id_col).agg(F.max(text_col).alias(text_col))
+        once = batch.select(id_col, text_col)
+        if not repeated(batch, id_col).isEmpty():
+            once = batch.groupBy(id_col).agg(F.max(text_col).alias(text_col))
         index.append(once, id_col, text_col, batch=f"{name}:{number}")
         index.merge(at_least=merge_at)
 
