@@ -96,7 +96,7 @@ class Index:
         name = f"seg-{uuid.uuid4().hex}"
         base = f"{self.path}/{name}"
         # written first, as sorting in ranges reads its input twice
-        blocks.write.parquet(f"{base}/blocks")
+        blocks.write.option("compression", "zstd").parquet(f"{base}/blocks")
         made = self.spark.read.schema(K.BLOCKS).parquet(f"{base}/blocks")
         K.sorted_postings(made).write.parquet(f"{base}/postings")
         (K.lengths(made) if docs is None else docs).write.parquet(f"{base}/docs")
