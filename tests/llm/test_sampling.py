@@ -187,3 +187,32 @@ def test_query_returns_the_encodings(spark, tmp_path):
     out = queries.op4_sentencepiece_sampling(spark, str(tmp_path)).collect()
     assert len(out) == 3 and all(len(r.ids) == r.n_pieces for r in out)
     assert all(hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() == r.ids_sha256 for r in out)
+
+
+def test_rare_units_go_first(vocab, monkeypatch):
+    """A full table keeps the units that come again; results are those of a table that is never full."""
+    texts = [f"the {i * 7919}x of".encode() for i in range(60)]
+    built = []
+    build = lattice.build
+    monkeypatch.setattr(lattice, "build", lambda code, sizes, v: built.append("".join(map(chr, code.tolist()))) or build(code, sizes, v))
+    found = []
+    for held in (6_000_000, 150):
+        monkeypatch.setattr(lattice, "EDGES_HELD", held)
+        table, out = lattice.Table(vocab), []
+        built.clear()
+        for i in range(0, 60, 3):
+            for live, s, edges, bounds, *values in (chunk := lattice.Chunk(texts[i : i + 3], np.arange(3, dtype=S.U), table)).samples(2):
+                ids, bounds = chunk.ids(edges, bounds)
+                out.append((live.tolist(), s, ids.tolist(), bounds.tolist(), *(v.tolist() for v in values)))
+        found.append(out)
+    assert found[0] == found[1]
+    assert sum(b.count("▁the") for b in built) == 1 and len("".join(built)) > 150
+
+
+def test_other_operators_drop_the_lattices():
+    """What the sampling keeps in a worker goes when a task of another operator trims its memory."""
+    table = lattice.unit_table(MODEL_FILE, lattice.THETA)
+    S.trim("lattice")
+    assert lattice.unit_table(MODEL_FILE, lattice.THETA) is table
+    S.trim()
+    assert lattice.unit_table.cache_info().currsize == lattice.vocabulary.cache_info().currsize == 0

@@ -45,7 +45,7 @@ from textloom.llm.common import row_key, whole_text
 
 MARK = "▁"
 _MARK = MARK.encode()
-CHUNK_BYTES = 3 << 19
+CHUNK_BYTES = 3 << 17
 THETA = 1.0
 SEED = 17
 SLOT_BITS = 21
@@ -147,6 +147,15 @@ def unit_table(model_file: str, theta: float) -> Table:
     return Table(vocabulary(model_file, theta))
 
 
+def forget() -> None:
+    """Drop a worker's vocabulary and lattices."""
+    vocabulary.cache_clear()
+    unit_table.cache_clear()
+
+
+S.HELD["lattice"] = forget
+
+
 @dataclass
 class Lattice:
     """Edges of the lattices of distinct units; node i of a unit is its i-th character.
@@ -168,7 +177,8 @@ def build(code: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> Lattice:
     base = np.concatenate(([0], np.cumsum(sizes)))
     n = len(code)
     rest = np.repeat(base[1:], sizes) - np.arange(n)
-    src, size, piece, weight = [], [], [], []
+    src, size, piece, weight, nth = [], [], [], [], []
+    degree = np.zeros(n, np.int64)
     at, h = np.arange(n), np.zeros(n, S.U)
     single = np.zeros(n, bool)
     for ell in range(1, vocab.longest + 1):
@@ -186,6 +196,11 @@ def build(code: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> Lattice:
         where, spot = at[hit], spot[hit]
         if ell == 1:
             single[where] = True
+            # a character without a piece has an edge of its bytes
+            degree[:] = 1
+        nth.append(degree[where] if ell > 1 else np.zeros(len(where), np.int64))
+        if ell > 1:
+            degree[where] += 1
         src.append(where)
         size.append(np.full(len(where), ell))
         piece.append(vocab.ids[spot])
@@ -196,9 +211,14 @@ def build(code: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> Lattice:
     size.append(np.ones(len(lone), np.int64))
     piece.append(-1 - c)
     weight.append(vocab.byte_weight * utf8_length(c))
-    src, size, piece, weight = (np.concatenate(x) for x in (src, size, piece, weight))
-    # backward pass: nodes by their distance to the unit's end, all units at once
-    order = np.argsort((rest[src].astype(S.U) << S.U(36)) | (src.astype(S.U) << S.U(8)) | size.astype(S.U))
+    nth.append(np.zeros(len(lone), np.int64))
+    src, size, piece, weight, nth = (np.concatenate(x) for x in (src, size, piece, weight, nth))
+    # backward pass: nodes by their distance to the unit's end, all units at once, and their edges by length
+    node = np.argsort(rest, kind="stable")
+    begin = np.empty(n, np.int64)
+    begin[node] = np.cumsum(degree[node]) - degree[node]
+    order = np.empty(len(src), np.int64)
+    order[begin[src] + nth] = np.arange(len(src))
     src, size, piece, weight = src[order], size[order], piece[order], weight[order]
     far = rest[src]
     final = size == far
@@ -232,24 +252,41 @@ def build(code: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> Lattice:
 
 
 class Table:
-    """Lattices of the units met so far; emptied when it holds EDGES_HELD edges.
+    """Lattices of the units met so far; over EDGES_HELD edges the least used half goes.
 
+    Most units are rare, so those that come again in many chunks are not built again.
     What a unit's lattice is does not depend on the others, so neither do results.
     """
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
-        self.clear()
-
+        self.names = np.zeros(0, S.U)
+        self.places = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int32)
+        self.nodes = self.edges = 0
         self.first = np.zeros(1, np.int64)
         self.length, self.piece = np.zeros(0, np.int8), np.zeros(0, np.int32)
         self.log_p, self.upto = np.zeros(0), np.zeros(0)
 
-    def clear(self) -> None:
-        """Forget all units; the arrays stay to be filled again."""
-        self.names = np.zeros(0, S.U)
-        self.places = np.zeros(0, np.int64)
-        self.nodes = self.edges = 0
+    def shrink(self, most: int) -> None:
+        """Keep the most used units, the newest of equals, with up to *most* edges together; the arrays stay to be filled again."""
+        order = np.argsort(self.places)
+        start = self.places[order]
+        stop = np.append(start[1:], self.nodes)[: len(start)]
+        held = self.first[stop] - self.first[start]
+        rank = np.lexsort((-start, -self.uses[order]))
+        kept = np.sort(rank[np.cumsum(held[rank]) <= most])
+        node, ends = S.ragged(start[kept], stop[kept])
+        edge, _ = S.ragged(self.first[start[kept]], self.first[stop[kept]])
+        upto = np.cumsum(self.first[node + 1] - self.first[node])
+        for name in ("length", "piece", "log_p", "upto"):
+            values = getattr(self, name)
+            values[: len(edge)] = values[edge]
+        self.nodes, self.edges = len(node), len(edge)
+        self.first[0], self.first[1 : len(node) + 1] = 0, upto
+        self.names, self.places, self.uses = self.names[order[kept]], ends[:-1], self.uses[order[kept]] // 2
+        order = np.argsort(self.names)
+        self.names, self.places, self.uses = self.names[order], self.places[order], self.uses[order]
 
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
         held = getattr(self, name)
@@ -262,11 +299,12 @@ class Table:
     def nodes_of(self, names: np.ndarray, code_of) -> np.ndarray:
         """First node of each named unit; *code_of* gives (code points, sizes) of those at some indices."""
         if self.edges > EDGES_HELD:
-            self.clear()
+            self.shrink(EDGES_HELD // 2)
         spot = np.minimum(np.searchsorted(self.names, names), max(len(self.names) - 1, 0))
         known = self.names[spot] == names if len(self.names) else np.zeros(len(names), bool)
         out = np.empty(len(names), np.int64)
         out[known] = self.places[spot[known]]
+        self.uses[spot[known]] += 1
         new = np.flatnonzero(~known)
         for i in range(0, len(new), BUILT_AT_ONCE):
             some = new[i : i + BUILT_AT_ONCE]
@@ -281,6 +319,7 @@ class Table:
             both = np.concatenate((self.names, names[new]))
             order = np.argsort(both)
             self.names, self.places = both[order], np.concatenate((self.places, out[new]))[order]
+            self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int32)))[order]
         return out
 
 
@@ -290,7 +329,11 @@ def utf8_length(c: np.ndarray) -> np.ndarray:
 
 def uniform(seed: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) named by a 64-bit seed and a place."""
-    x = S.mix(seed + (at.astype(S.U) + S.U(1)) * S.LEVELS[12])
+    return unit(S.mix(seed + (at.astype(S.U) + S.U(1)) * S.LEVELS[12]))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """64-bit values as numbers in (0, 1)."""
     return ((x >> S.U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
@@ -343,11 +386,12 @@ class Chunk:
     def draw(self, at: np.ndarray, chosen: np.ndarray, sample: int) -> None:
         """Follow random edges from the nodes *at* to the ends of their units."""
         lat = self.lattice
+        # uniform() of a text's seed and a place in it, with what depends on the text alone summed up
+        seeds = (self.seeds ^ salt(2 * sample)) + (S.U(1) - self.bounds[:-1].astype(S.U)) * S.LEVELS[12]
         while len(at):
-            edge = lat.first[self.node[at]]
-            doc = self.text_of[at]
-            u = uniform(self.seeds[doc] ^ salt(2 * sample), at - self.bounds[doc])
-            last = lat.first[self.node[at] + 1] - 1
+            node = self.node[at]
+            edge, last = lat.first[node], lat.first[node + 1] - 1
+            u = unit(S.mix(seeds[self.text_of[at]] + at.astype(S.U) * S.LEVELS[12]))
             open_ = np.flatnonzero(edge < last)
             while len(open_):
                 open_ = open_[u[open_] > lat.upto[edge[open_]]]
@@ -358,7 +402,7 @@ class Chunk:
             inside = at < self.stop[at - 1]
             at = at[inside]
 
-    def parts(self, path: np.ndarray, edges: np.ndarray, first: np.ndarray, stop: np.ndarray, before: np.ndarray, value: np.ndarray, docs: np.ndarray, extra: dict, sample: int, want: int, width: int = 64) -> list[list[tuple[float, int]]]:
+    def parts(self, path: np.ndarray, edges: np.ndarray, first: np.ndarray, stop: np.ndarray, before: np.ndarray, value: np.ndarray, docs: np.ndarray, extra: dict, sample: int, want: int, width: int = 384) -> list[list[tuple[float, int]]]:
         """Per text, the *want* largest (value, index into path) of the parts that depart from its path.
 
         Index i stands for the segmentations that agree before path[i] and take
@@ -384,13 +428,21 @@ class Chunk:
             u = uniform(self.seeds[d][:, None] ^ salt(2 * sample + 1), path[at] - self.bounds[d][:, None]) if len(path) else np.full(at.shape, 0.5)
             with np.errstate(divide="ignore"):
                 mass = ahead - lp + np.where(free, np.log(np.maximum(1.0 - gone, 0.0)), -np.inf)
-            top = -np.logaddexp(-value[d][:, None], -(mass - np.log(-np.log(u))))
-            best = np.argsort(-top, axis=1, kind="stable")[:, :want]
-            least = np.take_along_axis(top, best[:, -1:], axis=1)[:, 0] if best.shape[1] == want else np.full(len(todo), -np.inf)
+                drawn = mass - np.log(-np.log(u))
+            # the largest few, the first of equals; truncation keeps their order
+            rows, best, most = np.arange(len(todo)), [], []
+            for _ in range(min(want, width)):
+                best.append(drawn.argmax(axis=1))
+                most.append(drawn[rows, best[-1]])
+                drawn[rows, best[-1]] = -np.inf
+            top = -np.logaddexp(-value[d][:, None], -np.column_stack(most))
+            least = top[:, -1] if len(best) == want else np.full(len(todo), -np.inf)
             sure = (f + width >= z) | (ahead[:, -1] + MOST < least)
-            for i in np.flatnonzero(sure).tolist():
-                out[todo[i]] = [(float(top[i, j]), int(at[i, j])) for j in best[i].tolist() if top[i, j] > -np.inf]
-            todo, width = todo[~sure], 8 * width
+            spots = np.take_along_axis(at, np.column_stack(best), axis=1).tolist()
+            for i, values in enumerate(top.tolist()):
+                if sure[i]:
+                    out[todo[i]] = [(v, j) for v, j in zip(values, spots[i], strict=True) if v > -np.inf]
+            todo, width = todo[~sure], 2 * width
         return out
 
     def samples(self, k: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -520,7 +572,7 @@ def encode_samples(docs: DataFrame, model_file: str, k: int = 2, theta: float =
                     yield pa.RecordBatch.from_arrays(arrays, names)
                     del ids, packed, text, arrays
                 del chunk
-                S.trim()
+                S.trim("lattice")
 
     rows = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), whole_text(text_col).alias("text"), *carry)
     more = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in carry)

@@ -7,7 +7,7 @@ numpy call serves many rows; arithmetic is modulo 2**64.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,8 +34,19 @@ except (AttributeError, OSError):  # another C library
     _TRIM = None
 
 
-def trim() -> None:
-    """Give freed memory back to the system: a Python worker lives on after its task."""
+#: What operators keep in a worker from task to task, by name: functions that drop it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def trim(using: str = "") -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task.
+
+    What is HELD goes too, but for what the caller is *using*: the next tasks may be of another operator.
+    """
+    for name, drop in HELD.items():
+        if name != using:
+            drop()
+    pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
 
