@@ -359,6 +359,7 @@ def distances(pairs: DataFrame, sets: DataFrame, items: str = "items") -> DataFr
                 both = np.sort(np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q) if v.is_valid] or [np.zeros(0, np.uint64)]), kind="stable")
                 apart.append(len(both) - 2 * int((both[1:] == both[:-1]).sum()))
             yield pa.RecordBatch.from_arrays([*(x.column(i) for i in range(len(columns))), pa.array(apart, pa.int64())], [*columns, "d"])
+            S.trim()
 
     met = pairs.join(b, ["b1", "b2"], "left").join(a, ["a1", "a2"], "left").select(*columns, "a_items", "b_items")
     return met.mapInArrow(run, ", ".join(f"{c} long" for c in [*columns, "d"]))
@@ -388,6 +389,7 @@ def shared_parts(members: DataFrame, sets: DataFrame, groups: int) -> DataFrame:
                 part = (h % S.U(groups)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 yield _dealt(part[order], h[order], *(some.column(i).to_numpy()[who[order]] for i in range(3)))
+            S.trim()
 
     def met(key: tuple, rows: pa.Table) -> pa.Table:
         h, f1, f2, whose = _joined(rows, "words", S.U), *(_joined(rows, c) for c in ("names", "more", "most"))
@@ -399,14 +401,19 @@ def shared_parts(members: DataFrame, sets: DataFrame, groups: int) -> DataFrame:
         h, f1, f2 = h[both], f1[order[both]], f2[order[both]]
         part = f1 % groups
         order = np.argsort(part, kind="stable")
-        return pa.Table.from_batches([_dealt(part[order], h[order], f1[order], f2[order])])
+        out = pa.Table.from_batches([_dealt(part[order], h[order], f1[order], f2[order])])
+        del h, f1, f2, whose, order
+        S.trim()
+        return out
 
     def gather(key: tuple, rows: pa.Table) -> pa.Table:
         h, f1, f2 = _joined(rows, "words", S.U), _joined(rows, "names"), _joined(rows, "more")
         order = np.lexsort((h, f2, f1))
         h, f1, f2 = h[order], f1[order], f2[order]
         head = np.flatnonzero(np.concatenate(([True], (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1]))))
-        return pa.Table.from_arrays([pa.array(f1[head]), pa.array(f2[head]), S.binary(h, np.append(head, len(h)))], ["f1", "f2", "shared"])
+        out = pa.Table.from_arrays([pa.array(f1[head]), pa.array(f2[head]), S.binary(h, np.append(head, len(h)))], ["f1", "f2", "shared"])
+        S.trim()
+        return out
 
     more = DEALT + ", more binary"
     dealt = items.mapInArrow(deal, more + ", most binary")
@@ -428,6 +435,7 @@ def deltas(members: DataFrame, parts: DataFrame) -> DataFrame:
                 alone[:-1] &= h[:-1] != h[1:]
                 out.append(h[alone].tobytes())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), pa.array(out, pa.binary())], [*columns, "delta"])
+            S.trim()
 
     side = lambda t, c: parts.select(F.col("f1").alias(f"{t}1"), F.col("f2").alias(f"{t}2"), F.col("shared").alias(c))
     met = members.join(side("f", "x_part"), CLASS, "left").join(side("p", "p_part"), PIVOT, "left").select(*columns, "p_part", "x_part")
@@ -445,6 +453,7 @@ def tokens(members: DataFrame) -> DataFrame:
                 h = data[offsets[0] : offsets[-1]].view(np.int64)
                 who = np.repeat(np.arange(some.num_rows), np.diff(offsets) // 8)
                 yield pa.RecordBatch.from_arrays([*(pa.array(some.column(i).to_numpy()[who]) for i in range(4)), pa.array(h)], [*PIVOT, *CLASS, "token"])
+            S.trim()
 
     return members.select(*PIVOT, *CLASS, "delta").mapInArrow(run, "p1 long, p2 long, f1 long, f2 long, token long")
 
@@ -558,6 +567,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
             for first, h, bounds in sets_of(b, 2):
                 n = len(bounds) - 1
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(1).slice(first, n), S.binary(h, bounds)], ["f1", "f2", "items"])
+                S.trim()
 
     rows = docs.select(*row_key(id_col, text_col), whole_text(text_col).alias("text"))
     return rows.join(wanted, ["rid", "rhash"]).select("f1", "f2", "text").mapInArrow(run, "f1 long, f2 long, items binary").dropDuplicates(["f1", "f2"])

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm import symbols as S
 from textloom.llm.common import materialise, whole_text
 
 FEATURES = (
@@ -74,6 +75,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for b in batches:
             x = [statistics(t.as_buffer().to_pybytes() if t.as_buffer() else b"") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+            S.trim()
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, x array<double>")
@@ -161,5 +163,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             text = b.column(b.schema.get_field_index("text"))
             x = np.array([statistics(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in text]).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(model.score(x) >= threshold))
+            S.trim()
 
     return docs.mapInArrow(run, docs.schema)
