@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from textloom import queries as Q
 from textloom.functions.analysis import analyze_text, term_vectors, with_tokens
 from textloom.operators import blocks as K
 from textloom.operators import index as X
@@ -121,3 +122,11 @@ def test_stream_of_distinct_ids(spark, tmp_path, monkeypatch):
         sink.append_stream(stream, index, str(tmp_path / f"cp{name}")).trigger(availableNow=True).start().awaitTermination()
         assert {r.doc_id for r in index.search("z" if name == "two" else "a OR b").collect()} == ({1} if name == "two" else {1, 2})
     assert "Aggregate" not in plans[0] and "Aggregate" in plans[1]
+
+
+def test_index_vs_scan_analyses_once(spark, tmp_path):
+    """The scans of all queries share one analysis; queries without a hit have a row."""
+    spark.createDataFrame([(0, "the of"), (1, "of the"), (2, None), (3, "und")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = Q.index_vs_scan(spark, str(tmp_path))
+    assert plan(found).count("regexp_extract_all") == 1
+    assert {r.query: r[1:] for r in found.collect()} == {"match_term": (2, 2, 0), "match_phrase": (1, 1, 0), "match_nested": (2, 2, 0), "match_prefix_not": (0, 0, 0)}

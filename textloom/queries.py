@@ -14,7 +14,7 @@ from textloom.operators.index import Index, Options
 from textloom.operators.ranking import Statistics
 from textloom.plans.predicate import as_query, matches, over_norm
 from textloom.plans.query import cover_of, simplify
-from textloom.sources.tables import scratch_path, table
+from textloom.sources.tables import scratch_path, table, union_all
 
 #: Predicates by name: the query, and its SQL over n (the padded tokens).
 PREDICATES = {
@@ -184,15 +184,15 @@ def new_index(spark: SparkSession, sf_dir: str, options: Options | None = None)
 def index_vs_scan(spark, sf_dir):
     """Ids by the index and by the scan for several queries, and whether they agree."""
     index, docs = new_index(spark, sf_dir)
-    out = None
-    for name in ("match_term", "match_phrase", "match_nested", "match_prefix_not"):
-        source = PREDICATES[name][0]
-        a = index.search(source).select("doc_id", F.lit(1).alias("by_index"))
-        b = docs.where(matches("text", source)).select("doc_id", F.lit(1).alias("by_scan"))
-        both = a.join(b, "doc_id", "full").agg(F.count("by_index").alias("by_index"), F.count("by_scan").alias("by_scan"), F.count_if(F.col("by_index").isNull() | F.col("by_scan").isNull()).alias("differ"))
-        row = both.select(F.lit(name).alias("query"), "*")
-        out = row if out is None else out.union(row)
-    return out
+    names = ("match_term", "match_phrase", "match_nested", "match_prefix_not")
+    a = union_all([index.search(PREDICATES[n][0]).select(F.lit(n).alias("query"), "doc_id", F.lit(1).alias("by_index")) for n in names])
+    # one analysis of the texts serves the scans of all queries
+    rows = with_tokens(docs).select("doc_id", padded(F.col("tokens")).alias("norm"))
+    held = [F.when(over_norm(simplify(as_query(PREDICATES[n][0]).root), F.col("norm")), F.lit(n)) for n in names]
+    b = rows.select("doc_id", F.explode(F.array_compact(F.array(*held))).alias("query")).withColumn("by_scan", F.lit(1))
+    both = a.join(b, ["query", "doc_id"], "full").groupBy("query").agg(F.count("by_index").alias("by_index"), F.count("by_scan").alias("by_scan"), F.count_if(F.col("by_index").isNull() | F.col("by_scan").isNull()).alias("differ"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("by_index", "by_scan", "differ")]
+    return spark.createDataFrame([(n,) for n in names], "query string").join(both, "query", "left").select("query", *zero)
 
 
 def count_term(spark, sf_dir):
