@@ -87,6 +87,26 @@ def test_append_reads_once(spark, tmp_path):
         index.append(spark.createDataFrame([(None, "a")], "doc_id long, text string"))
 
 
+def test_postings_are_differences(spark, tmp_path):
+    """Where a Parquet dictionary of ids overflows, a posting has still not a whole id; all postings are read back."""
+    import pyarrow.parquet as pq
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("parquet.dictionary.page.size", "1024")
+    try:
+        index = Index.create(spark, str(tmp_path / "ix"))
+        index.append(spark.range(0, 8000, 2).selectExpr("id AS doc_id", "'a b a' AS text"))
+        index.append(spark.createDataFrame([(-(2**63), "ä a"), (2**63 - 1, "a")], "doc_id long, text string"))
+    finally:
+        conf.unset("parquet.dictionary.page.size")
+    name = index.manifest()["segments"][0]["name"]
+    groups = [m.row_group(i) for f in (tmp_path / "ix" / name / "postings").glob("*.parquet") for m in [pq.read_metadata(f)] for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 8000
+    assert sum(g.column(1).total_uncompressed_size for g in groups) < 2 * 8000
+    docs = {i: ["a", "b", "a"] for i in range(0, 8000, 2)} | {-(2**63): ["ä", "a"], 2**63 - 1: ["a"]}
+    assert {(r.term, r.doc_id): r.positions for r in index.postings().collect()} == wanted(docs)
+
+
 def test_hidden_are_sent(spark, tmp_path, monkeypatch):
     """A bounded number of hidden documents does not shuffle the postings; more give the same."""
     index = Index.create(spark, str(tmp_path / "ix"))

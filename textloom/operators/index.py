@@ -33,6 +33,9 @@ from textloom.sources.tables import Folder, union_all
 POSTINGS = "term string, doc_id long, tf int, positions array<int>, seg long"
 DOCS = "doc_id long, dl int, seg long"
 DICTIONARY = "term string, df long, cf long, seg long"
+#: Postings are written as differences of what comes before: a Parquet dictionary of ids overflows where documents
+#: are many, and each posting then has a whole id.
+COMPACTLY = {"compression": "zstd", "parquet.writer.version": "v2"} | {f"parquet.enable.dictionary#{c}": "false" for c in ("term", "doc_id", "positions.list.element")}
 #: Segments that one merge takes, and the number of small ones that calls for it.
 MERGE_SEGMENTS = 16
 #: Hidden documents up to which they are sent to the executors (some 50 MB); more are joined by a shuffle.
@@ -98,7 +101,7 @@ class Index:
         # written first, as sorting in ranges reads its input twice
         blocks.write.option("compression", "zstd").parquet(f"{base}/blocks")
         made = self.spark.read.schema(K.BLOCKS).parquet(f"{base}/blocks")
-        K.sorted_postings(made).write.parquet(f"{base}/postings")
+        K.sorted_postings(made).write.options(**COMPACTLY).parquet(f"{base}/postings")
         (K.lengths(made) if docs is None else docs).write.parquet(f"{base}/docs")
         self.folder.delete(f"{name}/blocks")
         written = self.spark.read.parquet(f"{base}/postings")
